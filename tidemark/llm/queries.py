@@ -26,6 +26,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are linked at a similarity of 0.8 or more."""
+    from tidemark.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from an empty cache."""
     from tidemark.llm.token_counts import count_tokens
@@ -42,5 +49,5 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_token_counts, op8_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_minhash, op4_token_counts, op8_token_store)}
 SQL: dict[str, str] = {}

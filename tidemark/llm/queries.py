@@ -26,6 +26,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels of two thirds."""
+    from tidemark.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of four-word shingles are linked at a similarity of 0.8 or more."""
     from tidemark.llm.minhash import near_duplicates
@@ -41,6 +48,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+#: A deployment keeps its own key secret.
+PSEUDONYM_KEY = "change-this-key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' texts with personal data replaced by pseudonyms, and how many were."""
+    from tidemark.llm.pii import pseudonymise
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, read back from the blocks that hold them."""
     from tidemark.llm.token_store import read_store, write_store
@@ -49,5 +68,5 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op3_minhash, op4_token_counts, op8_token_store)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op8_token_store)}
 SQL: dict[str, str] = {}

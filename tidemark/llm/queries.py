@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _path(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,7 +23,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of at most 1024 ids."""
     from tidemark.llm.packing import pack
 
-    made = pack(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
+    made = pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -44,7 +45,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, from an empty cache."""
     from tidemark.llm.token_counts import count_tokens
 
-    made = count_tokens(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+    made = count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return made.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
@@ -64,7 +65,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, read back from the blocks that hold them."""
     from tidemark.llm.token_store import read_store, write_store
 
-    made = read_store(write_store(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json")))
+    made = read_store(write_store(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
     return made.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

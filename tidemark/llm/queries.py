@@ -69,5 +69,20 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op8_token_store)}
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors of equal label at a cosine of 0.98 or more."""
+    from tidemark.llm.vector_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each whose id is divisible by 100, of all."""
+    from tidemark.llm.ann import build_index, search
+
+    index, books = build_index(_table(spark, sf_dir, "embeddings"))
+    return search(index, books, index.where("vec_id % 100 = 0"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op8_token_store, op9_vector_dedup, op10_ann)}
 SQL: dict[str, str] = {}

@@ -61,6 +61,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and licences of all documents."""
+    from tidemark.llm.licenses import scan_licences
+
+    made = scan_licences(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, read back from the blocks that hold them."""
     from tidemark.llm.token_store import read_store, write_store
@@ -84,5 +92,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, books, index.where("vec_id % 100 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op8_token_store, op9_vector_dedup, op10_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op6_licences, op8_token_store, op9_vector_dedup, op10_ann)}
 SQL: dict[str, str] = {}

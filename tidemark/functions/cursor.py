@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column
@@ -66,4 +67,11 @@ def min_or_default(cursors: Iterable[Cursor]) -> Cursor | None:
 
 def unread(column: Column, position: Any) -> Column:
     """True for rows beyond position, for all rows if it is None."""
-    return F.lit(True) if position is None else column > F.lit(position)
+    return F.lit(True) if position is None else column > literal(position)
+
+
+def literal(value: Any) -> Column:
+    """A position as a column; times without a zone stay so, and compare with such columns unchanged."""
+    if isinstance(value, datetime) and value.tzinfo is None:
+        return F.lit(value.isoformat(" ")).cast("timestamp_ntz")
+    return F.lit(value)

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cursor import Cursor, unread
+from tidemark.functions.cursor import Cursor, literal, unread
 from tidemark.operators.partition import Partition
 
 log = logging.getLogger("tidemark")
@@ -67,13 +67,13 @@ class Stream:
         column, df = F.col(self.cursor), self.source()
         fresh = df.where(unread(column, start) & column.isNotNull())
         if upto is not None:
-            fresh = fresh.where(column <= F.lit(upto))
+            fresh = fresh.where(column <= literal(upto))
         keys = fresh.select(column.alias("c"))
         end = (keys if n is None else keys.orderBy("c").limit(n)).agg(F.max("c").alias("end"), F.count("*").alias("n")).first()
         if not end["n"]:
             batch = Batch(fresh.limit(0), start, start, 0)
         else:
-            rows = fresh.where(column <= F.lit(end["end"]))
+            rows = fresh.where(column <= literal(end["end"]))
             batch = Batch(rows, start, end["end"], end["n"] if n is None or end["n"] < n else rows.select(column).count())
             cursor.advance_to(end["end"])
         for step in self.steps:
@@ -98,7 +98,7 @@ class Stream:
             c = F.col(downstream.cursor)
             rows = downstream.source()
             if bounded:
-                rows = rows.where(unread(c, batch.starts_at) & (c <= F.lit(batch.ends_at)))
+                rows = rows.where(unread(c, batch.starts_at) & (c <= literal(batch.ends_at)))
             made = replace(batch, df=rows.join(keys, key, "left_semi"))
             for step in downstream.steps:
                 made = step(made)

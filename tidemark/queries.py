@@ -2,5 +2,401 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions.cursor import Cursor, min_or_default
+from tidemark.operators import partition as parts
+from tidemark.operators.fold import CURSOR, Fold, PythonFold, pipeline
+from tidemark.operators.stream import Batch, as_sequential_stream, as_stream, numbered, of
+from tidemark.plans.catchup import Catchup, KeyedCatchup
+from tidemark.plans.shared import shared_folder
+from tidemark.plans.store import ParquetStore
+from tidemark.sources import event_store
+from tidemark.streaming.live import fold_stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events")
+
+
+def _money(kind: str, sign: int = 1):
+    amount = F.col("value").cast("decimal(18,2)")
+    return F.when(F.col("event_type") == kind, amount if sign > 0 else -amount)
+
+
+#: Purchases credit a user's account and errors debit it.
+_CHANGE_SQL = "case event_type when 'purchase' then cast(value as decimal(18,2)) when 'error' then -cast(value as decimal(18,2)) else cast(0 as decimal(18,2)) end"
+_BALANCE_SQL = f"select user_id, cast(sum({_CHANGE_SQL}) as double) balance, max(event_id) cursor_position from events group by user_id"
+
+
+def balance_fold() -> Fold:
+    """Balance per user: decimal sums, exact in any order."""
+    return Fold(("user_id",), {"balance": (F.sum(F.coalesce(_money("purchase"), _money("error", -1), F.lit(0).cast("decimal(18,2)"))), "sum")}, "event_id")
+
+
+def _told(state: DataFrame) -> DataFrame:
+    return state.select("user_id", F.col("balance").cast("double").alias("balance"), CURSOR)
+
+
+# sources
+
+
+@query("select event_id, user_id, event_type, value from events where event_id > 4999 order by event_id limit 1000")
+def fetch_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = as_stream(_events(spark, sf_dir), "event_id").fetch(Cursor(4999), 1000)
+    return batch.df.select("event_id", "user_id", "event_type", "value")
+
+
+@query("select event_id, user_id, event_type, value from events order by event_id limit 100")
+def fetch_null_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = of("events").cursor("event_id").batches_of(100).create(lambda: _events(spark, sf_dir)).fetch()
+    return batch.df.select("event_id", "user_id", "event_type", "value")
+
+
+@query("select c_custkey, c_name from customer where c_name > 'Customer#000000750' order by c_name limit 50")
+def fetch_string_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = as_stream(_table(spark, sf_dir, "customer"), "c_name").fetch(Cursor("Customer#000000750"), 50)
+    return batch.df.select("c_custkey", "c_name")
+
+
+@query("select o_orderkey, o_orderdate from orders where o_orderdate > timestamp '1995-01-01' and o_orderdate <= (select max(d) from (select o_orderdate d from orders where o_orderdate > timestamp '1995-01-01' order by d limit 200))")
+def fetch_date_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = as_stream(_table(spark, sf_dir, "orders"), "o_orderdate").fetch(Cursor(datetime(1995, 1, 1)), 200)
+    return batch.df.select("o_orderkey", "o_orderdate")
+
+
+@query("select * from (select row_number() over (order by l_orderkey, l_linenumber) as position, l_orderkey, l_linenumber from lineitem) where position > 500 and position <= 600")
+def fetch_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = as_sequential_stream(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]).fetch(Cursor(500), 100)
+    return batch.df.select("position", "l_orderkey", "l_linenumber")
+
+
+@query("select event_id, user_id, value from events where user_id > 20 and user_id <= 40 and event_type = 'purchase' and event_id > 99 order by event_id limit 100")
+def event_store_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = event_store.events(_events(spark, sf_dir), keep=F.col("event_type") == "purchase", key="user_id", partition=parts.by_range(20, 40))
+    return made.fetch(Cursor(99)).df.select("event_id", "user_id", "value")
+
+
+@query("select user_id, arg_min(event_type, event_id) event_type, max(event_id) \"last\" from (select * from events where event_id > 999 order by event_id limit 500) group by user_id")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store.change_feed(_events(spark, sf_dir), "user_id", kind="event_type").fetch(Cursor(999), 500).df
+
+
+@query("select e.event_id, e.user_id, e.event_type from events e where e.event_id > 999 and e.event_id <= 1499 and e.user_id > 10 and e.user_id <= 60")
+def per_key_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = event_store.per_key(_events(spark, sf_dir).where("event_id <= 1499"), "user_id", partition=parts.by_range(10, 60))
+    return made.fetch(Cursor(999), None).df.select("event_id", "user_id", "event_type")
+
+
+@query("select n_name, c_custkey from nation join customer on n_nationkey = c_nationkey where n_name > 'NATION_1' and n_name <= 'NATION_5' and c_acctbal < 0 order by n_name, c_custkey limit 50")
+def clocks_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = _table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    inside = parts.by_range("NATION_1", "NATION_5").predicate(F.col("n_name"))
+    return event_store.clocks_due(_table(spark, sf_dir, "nation"), commands, "n_nationkey", F.col("c_acctbal") < 0, inside, ("n_name", "c_custkey"), 50).select("n_name", "c_custkey")
+
+
+@query("select c_custkey, c_acctbal from customer where c_acctbal < 0 and c_nationkey = 7 and c_custkey > 10 and c_custkey <= 100000 order by c_custkey limit 5")
+def commands_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = parts.by_range(10, 100_000).predicate(F.col("c_custkey"))
+    return event_store.commands_due(_table(spark, sf_dir, "customer"), F.col("c_acctbal") < 0, F.col("c_nationkey") == 7, inside, ("c_custkey",)).select("c_custkey", "c_acctbal")
+
+
+@query("select conv_id, turn, role from conversations where conv_id = 3 and turn > 0 and turn <= 2")
+def one_key_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store.one_key(_table(spark, sf_dir, "conversations"), "conv_id", 3, "turn", 0, 2).select("conv_id", "turn", "role")
+
+
+@query("with s as (select conv_id, count(*) n from conversations group by conv_id), c as (select conv_id, sum(n) over (order by conv_id) upto from s) select v.conv_id, v.turn from conversations v join c on c.conv_id = v.conv_id where c.upto <= 100")
+def commit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store.whole_commits(_table(spark, sf_dir, "conversations"), "conv_id", 100).select("conv_id", "turn")
+
+
+@query("select distinct user_id from events")
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store.distinct_keys(_events(spark, sf_dir), "user_id")
+
+
+@query("select conv_id, max(turn) turn, max(length(text)) longest from conversations group by conv_id")
+def keys_with_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").withColumn("longest", F.length("text"))
+    return event_store.keys_with_heads(rows, "conv_id", "turn", "longest")
+
+
+# stream to stream
+
+
+@query("select event_id, user_id from (select * from events where event_id > 1999 order by event_id limit 1000) where event_type = 'purchase'")
+def map_project_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = as_stream(_events(spark, sf_dir), "event_id").filter(F.col("event_type") == "purchase").map(lambda df: df.select("event_id", "user_id"))
+    return made.fetch(Cursor(1999)).df
+
+
+@query("select count(*) filter (where event_type = 'error') emitted, count(*) fetched, max(event_id) cursor_position from (select * from events order by event_id limit 250)")
+def map_cursor_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = as_stream(_events(spark, sf_dir), "event_id").filter(F.col("event_type") == "error").fetch(n=250)
+    return batch.df.agg(F.count("*").alias("emitted")).select("emitted", F.lit(batch.count).cast("long").alias("fetched"), F.lit(batch.ends_at).alias(CURSOR))
+
+
+@query("with b as (select * from events where event_id > 999 order by event_id limit 500) select e.event_id, e.user_id, e.event_type from events e where e.event_id > 999 and e.event_id <= (select max(event_id) from b) and e.user_id in (select user_id from b)")
+def into_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    made = as_stream(rows, "event_id").into_many(as_stream(rows, "event_id", "per-user"), "user_id")
+    return made.fetch(Cursor(999), 500).df.select("event_id", "user_id", "event_type")
+
+
+@query("select l_orderkey, cast(sum(cast(l_quantity as decimal(18,2))) as double) quantity from lineitem where l_orderkey in (select o_orderkey from orders order by o_orderkey limit 500) group by l_orderkey")
+def into_many_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = as_stream(_table(spark, sf_dir, "orders").withColumn("l_orderkey", F.col("o_orderkey")), "l_orderkey", "orders")
+    made = orders.into_many(as_stream(_table(spark, sf_dir, "lineitem"), "l_orderkey", "lines"), "l_orderkey")
+    lines = made.map(lambda df: df.groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity")))
+    return lines.fetch(n=500).df
+
+
+@query("select cast(floor(balance / 100) as bigint) band, count(*) users from (" + _BALANCE_SQL + ") group by 1")
+def stream_over_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = as_stream(_events(spark, sf_dir), "event_id").aggregate(balance_fold())
+    return as_stream(_told(index), CURSOR, "balances").aggregate(lambda _, b: b.df.groupBy(F.floor(F.col("balance") / 100).alias("band")).agg(F.count("*").alias("users")))
+
+
+# partitions
+
+
+@query("with r(i, lo, hi) as (values (0, 0, 200), (1, 200, 400), (2, 400, 600), (3, 600, 800), (4, 800, 1003)) select 'partition:' || lo || '-' || hi as \"partition\", count(c_custkey) n from r left join customer on c_custkey > lo and c_custkey <= hi group by lo, hi")
+def range_among(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.counts(_table(spark, sf_dir, "customer"), "c_custkey", parts.by_range(0, 1003).among(5))
+
+
+_GUID = "concat(substr(m,1,8),'-',substr(m,9,4),'-',substr(m,13,4),'-',substr(m,17,4),'-',substr(m,21,12))"
+_GUID_KEY = "concat(substr(g,25,12),substr(g,20,4),substr(g,17,2),substr(g,15,2),substr(g,12,2),substr(g,10,2),substr(g,7,2),substr(g,5,2),substr(g,3,2),substr(g,1,2))"
+
+
+def _guid_sql() -> str:
+    from tidemark.functions.guid import key_of
+
+    some = " union all ".join(f"select '{p.name}' as \"partition\", count(*) filter (where k > '{key_of(p.lower)}' and k <= '{key_of(p.upper)}') n from t" for p in parts.all_guids().among(8))
+    return f"with t as (select {_GUID_KEY} k from (select {_GUID} g from (select md5(cast(c_custkey as varchar)) m from customer))) {some}"
+
+
+@query(_guid_sql())
+def guid_among(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("m")).select(F.expr(_GUID).alias("guid"))
+    return parts.counts(rows, "guid", parts.all_guids().among(8))
+
+
+@query("select case when c_name <= 'Customer#000000500' then 'low' else 'high' end as part, count(*) n, min(c_name) first_name, max(c_name) last_name from customer where c_name > 'Customer#000000100' and c_name <= 'Customer#000000900' group by 1")
+def string_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = parts.by_range("Customer#000000100", "Customer#000000500"), parts.by_range("Customer#000000500", "Customer#000000900")
+    rows = parts.distribute_into(_table(spark, sf_dir, "customer"), "c_name", [low, high])
+    named = rows.withColumn("part", F.when(F.col("partition") == low.name, "low").otherwise("high"))
+    return named.groupBy("part").agg(F.count("*").alias("n"), F.min("c_name").alias("first_name"), F.max("c_name").alias("last_name"))
+
+
+@query("select event_id, user_id, value from events where event_type = 'signup' and event_id > 100 order by event_id limit 200")
+def value_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = as_stream(_events(spark, sf_dir), "event_id").partitioned("event_type").get(parts.by_value("signup"))
+    return made.fetch(Cursor(100), 200).df.select("event_id", "user_id", "value")
+
+
+@query("select 'partition:' || case when user_id % 3 = 0 then 'zero' when user_id % 3 = 1 then 'one' else 'two' end as \"partition\", count(*) n, max(event_id) cursor_position from events group by 1")
+def predicate_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = [parts.where(lambda k, i=i: k % 3 == i, name) for i, name in enumerate(("zero", "one", "two"))]
+    return parts.distribute_into(_events(spark, sf_dir), "user_id", each).groupBy("partition").agg(F.count("*").alias("n"), F.max("event_id").alias(CURSOR))
+
+
+@query("select 'partition:0-50' as \"partition\", count(*) filter (where c_custkey > 0 and c_custkey <= 50) n from customer union all select 'partition:25-75', count(*) filter (where c_custkey > 25 and c_custkey <= 75) from customer union all select 'partition:-9--5', 0 from (select 1)")
+def distribute_into(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping and empty partitions keep their rows and their zero."""
+    return parts.counts(_table(spark, sf_dir, "customer"), "c_custkey", [parts.by_range(0, 50), parts.by_range(25, 75), parts.by_range(-9, -5)])
+
+
+@query("select 'partition:' || (i * 25) || '-' || (i * 25 + 25) as \"partition\", max(event_id) cursor_position, count(*) n from (select event_id, cast((user_id - 1) // 25 as bigint) i from events where user_id > 0 and user_id <= 100) group by i")
+def distributed_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cursor for each partition, all in one job."""
+    rows = parts.distribute_into(_events(spark, sf_dir), "user_id", parts.by_range(0, 100).among(4))
+    return rows.groupBy("partition").agg(F.max("event_id").alias(CURSOR), F.count("*").alias("n"))
+
+
+@query(f"select 'partition:' || (i * 25) || '-' || (i * 25 + 25) as \"partition\", user_id, cast(sum(c) as double) balance, max(event_id) cursor_position from (select event_id, user_id, cast((user_id - 1) // 25 as bigint) i, {_CHANGE_SQL} c from events where user_id > 0 and user_id <= 100) group by i, user_id")
+def distributed_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parts.distribute_into(_events(spark, sf_dir), "user_id", parts.by_range(0, 100).among(4))
+    fold = balance_fold()
+    fold = Fold(("partition", "user_id"), fold.values, fold.cursor)
+    state = as_stream(rows, "event_id").aggregate(fold)
+    return state.select("partition", "user_id", F.col("balance").cast("double").alias("balance"), CURSOR)
+
+
+# folds and state
+
+
+@query(_BALANCE_SQL)
+def projection_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's balance and cursor, on demand."""
+    return _told(as_stream(_events(spark, sf_dir), "event_id").aggregate(balance_fold()))
+
+
+@query(_BALANCE_SQL)
+def projection_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State up to event 5000, then only newer rows merged into it."""
+    rows, fold = _events(spark, sf_dir), balance_fold()
+    state = fold.delta(rows.where("event_id <= 5000"))
+    return _told(as_stream(rows, "event_id").aggregate(fold, state, Cursor(5000)))
+
+
+@query("select user_id, array_to_string(list_sort(list(distinct event_type)), ',') kinds, max(event_id) cursor_position from events group by user_id")
+def projection_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    fold = Fold(("user_id",), {"kinds": (F.collect_set("event_type"), "set")}, "event_id")
+    state = fold(fold.delta(rows.where("event_id < 700")), as_stream(rows, "event_id").fetch(Cursor(699), None))
+    return state.select("user_id", F.array_join(F.array_sort("kinds"), ",").alias("kinds"), CURSOR)
+
+
+@query("select user_id, count(*) n, arg_max(event_type, event_id) last_kind from events group by user_id")
+def projection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list in order of events, folded in two batches."""
+    rows = _events(spark, sf_dir)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
+    fold = Fold(("user_id",), {"kinds": (ordered, "list")}, "event_id")
+    state = fold(fold.delta(rows.where("event_id < 700")), as_stream(rows, "event_id").fetch(Cursor(699), None))
+    return state.select("user_id", F.size("kinds").cast("long").alias("n"), F.element_at("kinds", -1).alias("last_kind"))
+
+
+@query("with b as (select user_id, event_id >= 500 late, count(*) n, max(event_id) c from events where event_id < 1000 group by 1, 2) select user_id, arg_max(n, late) n, max(c) cursor_position from b group by user_id")
+def projection_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of rows in the last batch that a user was in."""
+    rows = _events(spark, sf_dir).where("event_id < 1000")
+    fold = Fold(("user_id",), {"n": (F.count("*"), "replace")}, "event_id")
+    return fold(fold.delta(rows.where("event_id < 500")), as_stream(rows, "event_id").fetch(Cursor(499), None)).select("user_id", "n", CURSOR)
+
+
+@query(_BALANCE_SQL.replace("balance,", "balance, 'audited' note,"))
+def pipeline_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold within middleware that lets only money through and marks what comes out."""
+
+    def money_only(state: DataFrame | None, batch: Batch, go) -> DataFrame:
+        return go(state, Batch(batch.df.withColumn("value", F.when(F.col("event_type").isin("purchase", "error"), F.col("value"))), batch.starts_at, batch.ends_at, batch.count))
+
+    def mark(state: DataFrame | None, batch: Batch, go) -> DataFrame:
+        return go(state, batch).withColumn("note", F.lit("audited"))
+
+    state = as_stream(_events(spark, sf_dir), "event_id").aggregate(pipeline(balance_fold(), money_only, mark))
+    return state.select("user_id", F.col("balance").cast("double").alias("balance"), "note", CURSOR)
+
+
+# catching up
+
+
+@query("select cast((p - 1) // 1000 as bigint) batch, max(event_id) cursor_position, count(*) n, cast(sum(count(*)) over (order by (p - 1) // 1000) as bigint) total from (select event_id, row_number() over (order by event_id) p from events) group by (p - 1) // 1000")
+def batch_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cursor, size and running total after each batch of 1000: what a catch-up goes through, in one job."""
+    rows = numbered(_events(spark, sf_dir).select("event_id"), ["event_id"]).withColumn("batch", F.floor((F.col("position") - 1) / 1000))
+    sizes = rows.groupBy("batch").agg(F.max("event_id").alias(CURSOR), F.count("*").alias("n"))
+    return sizes.withColumn("total", F.sum("n").over(Window.orderBy("batch")))
+
+
+@query("select user_id, count(distinct (p - 1) // 1000) batches from (select user_id, row_number() over (order by event_id) p from events) group by user_id")
+def batch_count_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = numbered(_events(spark, sf_dir).select("event_id", "user_id"), ["event_id"])
+    return rows.groupBy("user_id").agg(F.countDistinct(F.floor((F.col("position") - 1) / 1000)).alias("batches"))
+
+
+@query("select event_id, user_id from events where event_id > 300 order by event_id limit 200")
+def min_cursor_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two subscribers at 300 and 400: the shared fetch starts at 300."""
+    at = min_or_default([Cursor(400), Cursor(300)])
+    return as_stream(_events(spark, sf_dir), "event_id").fetch(at, 200).df.select("event_id", "user_id")
+
+
+@query("select event_id, user_id from events where event_id > 400 and event_id <= 500")
+def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the subscriber at 400 folds of the batch (300, 500]."""
+    batch = as_stream(_events(spark, sf_dir), "event_id").fetch(Cursor(300), 200)
+    return batch.prune("event_id", Cursor(400)).df.select("event_id", "user_id")
+
+
+@query("with k as (select user_id, max(event_id) m from (select * from events order by event_id limit 400) group by user_id order by m limit 20) select e.user_id, count(*) n from events e join k on k.user_id = e.user_id where e.event_id < 400 group by e.user_id")
+def multi_upstream_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the keys that changed in the first 400 events, the 20 that changed first are folded."""
+    rows = _events(spark, sf_dir).where("event_id < 400")
+    heads = as_stream(event_store.change_feed(rows, "user_id").fetch(n=400).df, "last", "heads")
+    keys = heads.fetch(n=20).df
+    return rows.join(keys.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(_BALANCE_SQL)
+def catchup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catch-up in batches of a third of the events, saved in a Parquet store after each."""
+    rows = _events(spark, sf_dir)
+    store = ParquetStore(spark, shared_folder(spark, "catchup"))
+    run = Catchup(as_stream(rows, "event_id"), batch_size=rows.count() // 3 + 1)
+    run.subscribe(balance_fold(), store, "balance")
+    run.run_until_caught_up()
+    return _told(store.get("balance"))
+
+
+@query(_BALANCE_SQL)
+def catchup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed of changed users drives one job for the unread events of all of them, twice."""
+    rows = _events(spark, sf_dir)
+    store = ParquetStore(spark, shared_folder(spark, "keys"))
+    run = KeyedCatchup(as_stream(rows, "event_id", "changes"), lambda: rows, "user_id", batch_size=rows.count() // 2 + 1)
+    run.subscribe(balance_fold(), store, "balance")
+    run.run_until_caught_up()
+    return _told(store.get("balance"))
+
+
+@query("select user_id, count(*) filter (where event_id < 500 or user_id % 5 <> 0) n, max(case when event_id < 500 or user_id % 5 <> 0 then event_id end) cursor_position, (user_id % 5 = 0 and max(event_id) >= 500) failed from events where event_id < 1000 group by user_id")
+def error_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose fold raises keep their state and cursor; the others go on."""
+
+    def fold(key, old, new):
+        if key[0] % 5 == 0 and new["event_id"].max() >= 500:
+            raise ValueError("refused")
+        n = len(new) + (int(old["n"].iloc[0]) if len(old) else 0)
+        return new.iloc[:1][["user_id"]].assign(n=n, cursor_position=int(new["event_id"].max()))
+
+    rows = _events(spark, sf_dir).select("event_id", "user_id").where("event_id < 1000")
+    step = PythonFold(("user_id",), fold, "user_id long, n long, cursor_position long", "event_id")
+    stream = as_stream(rows, "event_id")
+    at = Cursor()
+    state = step(step(None, stream.fetch(at, 500)), stream.fetch(at, 500))
+    return state.select("user_id", F.coalesce("n", F.lit(0)).alias("n"), CURSOR, F.col("error").isNotNull().alias("failed"))
+
+
+@query("select s_suppkey, s_acctbal from supplier where s_suppkey % 3 <> 0 order by s_acctbal, s_suppkey limit 1")
+def lease_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free resource that was released longest ago, with the balance for the time of release."""
+    resources = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    in_use = resources.where("s_suppkey % 3 = 0").select("s_suppkey")
+    return resources.join(in_use, "s_suppkey", "left_anti").orderBy("s_acctbal", "s_suppkey").limit(1)
+
+
+@query(_BALANCE_SQL)
+def stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balances as a Structured Streaming query over the files keeps them."""
+    folder = shared_folder(spark, "live")
+    rows = spark.readStream.schema(_events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern: the source takes no path of a single file
+    store = ParquetStore(spark, f"{folder}/state")
+    fold_stream(rows, Fold(("user_id",), balance_fold().values, "event_id", prune=False), store, "balance", "event_id", f"{folder}/checkpoint").awaitTermination()
+    return _told(store.get("balance"))

@@ -69,6 +69,14 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("sentences").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of all documents."""
+    from tidemark.llm.pieces import n_best_segments
+
+    made = n_best_segments(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return made.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, read back from the blocks that hold them."""
     from tidemark.llm.token_store import read_store, write_store
@@ -92,5 +100,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, books, index.where("vec_id % 100 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op6_licences, op8_token_store, op9_vector_dedup, op10_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality, op3_minhash, op4_token_counts, op5_pii, op6_licences, op7_pieces, op8_token_store, op9_vector_dedup, op10_ann)}
 SQL: dict[str, str] = {}

@@ -1,0 +1,62 @@
+from pyspark.sql import functions as F
+
+from tidemark.functions.cursor import Cursor
+from tidemark.operators.fold import Fold
+from tidemark.plans.store import ParquetStore
+from tidemark.sources import event_store
+from tidemark.sources.cursor_source import CursorDataSource
+from tidemark.streaming.live import fold_stream, side_effects, windowed
+
+
+def test_change_feed_gives_keys_with_their_last_event(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], f"t{i}") for i in range(1, 21)], "event_id long, key string, kind string")
+    rows = {r["key"]: (r["kind"], r["last"]) for r in event_store.change_feed(df, "key", kind="kind").fetch(Cursor(4)).df.collect()}
+    assert rows == {"b": ("t5", 13), "a": ("t6", 14)}
+    assert sorted(r["event_id"] for r in event_store.per_key(df, "key").fetch(Cursor(4)).df.collect()) == list(range(5, 15))
+
+
+def test_whole_commits_end_before_the_size_and_a_large_first_one_comes_alone(spark):
+    df = spark.createDataFrame([(c, i) for c, n in ((1, 3), (2, 4), (3, 5)) for i in range(n)], "c int, i int")
+    assert event_store.whole_commits(df, "c", 7).count() == 7
+    assert event_store.whole_commits(df, "c", 11).count() == 7
+    assert event_store.whole_commits(df, "c", 2).count() == 3
+    assert event_store.whole_commits(df, "c", 5, after=2).count() == 5
+
+
+def test_clocks_stand_for_each_due_command(spark):
+    clocks = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    commands = spark.createDataFrame([(1, 5), (1, 6), (2, 50)], "id int, due int")
+    assert event_store.clocks_due(clocks, commands, "id", F.col("due") < 10, n=None).count() == 2
+    assert event_store.commands_due(commands, F.col("due") < 10, F.col("id") == 1, order=("due",), n=1).collect()[0]["due"] == 5
+
+
+def test_a_live_fold_sees_each_row_once_and_goes_on_after_a_stop(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, key long")
+    source, store = str(tmp_path / "in"), ParquetStore(spark, str(tmp_path / "state"))
+    step = Fold(("key",), {"n": (F.count("*"), "sum")}, "id")
+
+    def run():
+        rows = spark.readStream.schema(df.schema).parquet(source)
+        fold_stream(rows, step, store, "s", "id", str(tmp_path / "checkpoint")).awaitTermination()
+        return sum(r["n"] for r in store.get("s").collect())
+
+    df.where("id < 12").write.parquet(source)
+    assert run() == 12
+    df.where("id >= 12").write.mode("append").parquet(source)
+    assert run() == 20 and run() == 20
+
+
+def test_cursor_source_reads_bounded_batches(spark, tmp_path):
+    spark.range(25).write.parquet(str(tmp_path / "t"))
+    spark.dataSource.register(CursorDataSource)
+    rows = spark.readStream.format("cursor").option("path", str(tmp_path / "t")).option("cursor", "id").option("columns", "id long").option("batch", 10).load()
+    sizes = []
+    query = side_effects(rows, lambda df, i: sizes.append(df.count()), str(tmp_path / "checkpoint"), every="0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    assert sizes == [10, 10, 5]
+
+
+def test_windows(spark):
+    df = spark.sql("select timestamp'2020-01-01 00:00:10' as t, 1 as k union all select timestamp'2020-01-01 00:01:10', 1")
+    assert windowed(df, "t", "1 minute", "1 minute", ["k"], n=F.count("*")).count() == 2

@@ -17,6 +17,8 @@ from tidemark.llm.encode import batches
 
 #: Signature slots, in BANDS bands of ROWS. Of pairs at a similarity of 0.8, 3 in a million share no band.
 BANDS, ROWS = 24, 4
+#: Elements of the sets in one block, about.
+BLOCK = 1 << 16
 _GOLDEN = 0x9E3779B97F4A7C15
 _FACTORS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "u8")
 
@@ -127,14 +129,70 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, perce
     return kept(both.mapInArrow(_linked(percent), "a long, b long"))
 
 
+def _mixed(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Members of the buckets that hold several components: `minor` outside the largest one; None if there are none."""
+    placed = members.join(found.withColumnRenamed("node", "member"), "member", "left").select("key", "member", "n_shingles", F.coalesce("component", "member").alias("component"))
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    buckets = counts.groupBy("key").agg(F.sum("n").alias("total"), F.sum("size").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    buckets = kept(buckets.select("key", "total", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.col("top.component").alias("largest")))
+    if not buckets.limit(1).count():
+        return placed, None
+    placed = placed.join(buckets, "key").withColumn("minor", F.col("component") != F.col("largest"))
+    return kept(placed.withColumn("block", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")))), buckets
+
+
+def _compared(placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of minor members with any of other components in their bucket, block by block.
+
+    A cell (bucket, i, j) holds the minor members of block i and all of block j, about BLOCK elements each; a task counts
+    the common elements of all its pairs at once, so sets are sent for members and blocks, never for pairs.
+    """
+    asking = placed.where("minor").groupBy("key").agg(F.collect_set("block").alias("asking"))
+    cells = placed.where("minor").select("key", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "member", "component", F.lit(True).alias("asks"))
+    others = placed.join(kept(asking), "key").select("key", F.explode("asking").alias("i"), F.col("block").alias("j"), "member", "component", F.lit(False).alias("asks"))
+    wanted = placed.select(F.col("member").alias("doc_id")).distinct()
+    sets = kept(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "member long, elements binary"), "none").dropDuplicates(["member"])
+    full = cells.unionByName(others).join(sets, "member").select("key", "i", "j", "member", "component", "asks", "elements")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        asks = np.asarray(cell.column("asks"))
+        ids, comps = np.asarray(cell.column("member")), np.asarray(cell.column("component"))
+        rows = [np.frombuffer(x.as_buffer(), "u8") for x in cell.column("elements")]
+        size = np.array([len(x) for x in rows])
+        kinds, where = np.unique(np.concatenate(rows), return_inverse=True)
+        of = np.repeat(np.arange(len(rows)), size)
+        shared = np.bincount(where[~asks[of]], minlength=len(kinds)) * np.bincount(where[asks[of]], minlength=len(kinds)) > 0
+        narrow = np.cumsum(shared) - 1
+        of, where = of[shared[where]], narrow[where[shared[where]]]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        place = np.empty(len(rows), "i8")
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        common = np.zeros((len(left), len(right)), "f4")
+        order = np.argsort(where, kind="stable")
+        of, where = of[order], where[order]
+        for first in range(0, int(shared.sum()), 2048):
+            a, b = np.searchsorted(where, [first, first + 2048])
+            o, w, mine = of[a:b], where[a:b] - first, asks[of[a:b]]
+            x, y = np.zeros((len(left), 2048), "f4"), np.zeros((len(right), 2048), "f4")
+            x[place[o[mine]], w[mine]] = 1
+            y[place[o[~mine]], w[~mine]] = 1
+            common += x @ y.T
+        both = common.astype("i8")
+        linked = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (comps[left][:, None] != comps[right])
+        p, q = np.nonzero(linked)
+        return pa.table([pa.array(ids[left[p]]), pa.array(ids[right[q]])], ["a", "b"])
+
+    return kept(full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links, itself included), kept (doc_id = component_id).
 
     Two documents are linked if 100 * |common shingles| >= percent * |all shingles| on their full sets. Documents with
     equal sets, however many, stand as one (the smallest id). In each band's bucket the others are first compared with its
-    smallest member alone; then, as long as a bucket holds more than one component, members outside its largest one are
-    compared with all members of other components, at most 64 (then 128, ...) a round. So no bucket is capped, no pair
-    inside a component is made, and every pair that shares a band ends up in one component or was compared.
+    smallest member alone. Where a bucket then holds several components, members outside the largest are compared with all
+    members of other components, in blocks. So no bucket is capped, no table of a group's pairs is made, and every pair
+    that shares a band is in one component or was compared.
 
     A null, empty or blank text has no shingles and is linked with nothing. Rows with a null id are returned with a null
     component_id and kept. Rows that share an id are one node; each is returned. Other columns are ignored.
@@ -148,23 +206,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # ids with several texts link these texts
     links = named.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    members = named.where("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("member"))
+    members = named.where("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("member"), "n_shingles")
     pivots = kept(members.groupBy("key").agg(F.min("member").alias("pivot"), F.max("member").alias("other")).where("pivot <> other").select("key", "pivot"))
     members = kept(members.join(pivots, "key"))
-    links = links.unionByName(_verified(members.where("member <> pivot").select(F.col("member").alias("a"), F.col("pivot").alias("b")), docs, sizes, k, percent))
-    members, most, found = members.where("member <> pivot").select("key", "member"), 64, components(links)
-    while True:
-        placed = members.join(found.withColumnRenamed("node", "member"), "member", "left").select("key", "member", F.coalesce("component", "member").alias("component"))
-        counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        buckets = counts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-        buckets = kept(buckets.select("key", F.col("top.component").alias("largest"), (F.col("total") - F.col("top.n")).alias("minority")))
-        if not buckets.limit(1).count():
-            break
-        drawn = F.pmod(F.xxhash64("member", "key", F.lit(most)), F.lit(1 << 30)) < F.lit(most * (1 << 30)) / F.col("minority")
-        placed = kept(placed.join(buckets, "key").withColumn("asks", (F.col("component") != F.col("largest")) & drawn).select("key", "member", "component", "asks"))
-        asking = placed.where("asks").select("key", F.col("member").alias("a"), F.col("component").alias("of"))
-        pairs = placed.join(asking, "key").where((F.col("component") != F.col("of")) & (~F.col("asks") | (F.col("a") < F.col("member"))))
-        links = links.unionByName(_verified(pairs.select("a", F.col("member").alias("b")), docs, sizes, k, percent))
-        members, most, found = placed.where("not asks").select("key", "member"), 2 * most, components(links)
+    star = members.where("member <> pivot").select(F.col("member").alias("a"), F.col("pivot").alias("b"))
+    links = links.unionByName(_verified(star, docs, sizes, k, percent))
+    members, found = members.where("member <> pivot").select("key", "member", "n_shingles"), components(links)
+    placed, buckets = _mixed(members, found)
+    if buckets is not None:
+        links = links.unionByName(_compared(placed, docs, k, percent))
+        found = components(links)
     out = named.join(found.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -366,7 +366,7 @@ def catchup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(store.get("balance"))
 
 
-@query("select user_id, count(*) filter (where event_id < 500 or user_id % 5 <> 0) n, max(case when event_id < 500 or user_id % 5 <> 0 then event_id end) cursor_position, (user_id % 5 = 0 and max(event_id) >= 500) failed from events where event_id < 1000 group by user_id")
+@query("select user_id, count(*) filter (where event_id < 500 or user_id % 5 <> 0) n, coalesce(max(case when event_id < 500 or user_id % 5 <> 0 then event_id end), -1) cursor_position, (user_id % 5 = 0 and max(event_id) >= 500) failed from events where event_id < 1000 group by user_id")
 def error_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys whose fold raises keep their state and cursor; the others go on."""
 
@@ -381,7 +381,7 @@ def error_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = as_stream(rows, "event_id")
     at = Cursor()
     state = step(step(None, stream.fetch(at, 500)), stream.fetch(at, 500))
-    return state.select("user_id", F.coalesce("n", F.lit(0)).alias("n"), CURSOR, F.col("error").isNotNull().alias("failed"))
+    return state.select("user_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(CURSOR, F.lit(-1)).alias(CURSOR), F.col("error").isNotNull().alias("failed"))
 
 
 @query("select s_suppkey, s_acctbal from supplier where s_suppkey % 3 <> 0 order by s_acctbal, s_suppkey limit 1")

@@ -96,7 +96,7 @@ def _full_sets(k: int):
         for b in parts:
             for at, texts in batches(b.column(1)):
                 sets = [shingles(t.as_py(), k).tobytes() for t in texts]
-                yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "elements"])
+                yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], ["member", "elements"])
 
     return full_sets
 
@@ -116,16 +116,19 @@ def _linked(percent: int):
     return linked
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets, made anew from the texts, are as similar as percent says."""
-    named = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"))
-    pairs = kept(pairs.distinct())
-    pairs = pairs.join(named("a"), "a").join(named("b"), "b")
-    pairs = kept(pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = kept(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, elements binary"), "none")
-    held = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"set_{c}"))
-    both = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "set_a", "set_b")
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """member, elements (the full set, made anew from the text) of the documents that ids, one column, names."""
+    wanted = ids.toDF("doc_id").distinct()
+    return kept(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "member long, elements binary"), "none")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are as similar as percent says.
+
+    Many pairs may name the same b: they meet its set as bare ids, in a join that Spark splits, before a's set joins them.
+    """
+    held = lambda c: sets.select(F.col("member").alias(c), F.col("elements").alias(f"set_{c}"))
+    both = pairs.join(held("b"), "b").join(held("a"), "a").select("a", "b", "set_a", "set_b")
     return kept(both.mapInArrow(_linked(percent), "a long, b long"))
 
 
@@ -141,7 +144,7 @@ def _mixed(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame |
     return kept(placed.withColumn("block", F.pmod(F.xxhash64("member", F.lit(1)), F.col("blocks")))), buckets
 
 
-def _compared(placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _compared(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of minor members with any of other components in their bucket, block by block.
 
     A cell (bucket, i, j) holds the minor members of block i and all of block j, about BLOCK elements each; a task counts
@@ -150,9 +153,7 @@ def _compared(placed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     asking = placed.where("minor").groupBy("key").agg(F.collect_set("block").alias("asking"))
     cells = placed.where("minor").select("key", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "member", "component", F.lit(True).alias("asks"))
     others = placed.join(kept(asking), "key").select("key", F.explode("asking").alias("i"), F.col("block").alias("j"), "member", "component", F.lit(False).alias("asks"))
-    wanted = placed.select(F.col("member").alias("doc_id")).distinct()
-    sets = kept(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "member long, elements binary"), "none").dropDuplicates(["member"])
-    full = cells.unionByName(others).join(sets, "member").select("key", "i", "j", "member", "component", "asks", "elements")
+    full = cells.unionByName(others).join(sets.dropDuplicates(["member"]), "member").select("key", "i", "j", "member", "component", "asks", "elements")
 
     def compare(cell: pa.Table) -> pa.Table:
         asks = np.asarray(cell.column("asks"))
@@ -202,19 +203,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     alike = kept(described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"))
     named = described.join(alike, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands")
     named = kept(named.withColumn("bands", F.when(F.col("doc_id") == F.col("rep"), F.col("bands"))))
-    sizes = named.where("bands is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     # ids with several texts link these texts
     links = named.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     members = named.where("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("member"), "n_shingles")
-    pivots = kept(members.groupBy("key").agg(F.min("member").alias("pivot"), F.max("member").alias("other")).where("pivot <> other").select("key", "pivot"))
+    pivots = members.groupBy("key").agg(F.min("member").alias("pivot"), F.min_by("n_shingles", "member").alias("n"), F.max("member").alias("other"))
+    pivots = kept(pivots.where("pivot <> other").drop("other"))
     members = kept(members.join(pivots, "key"))
-    star = members.where("member <> pivot").select(F.col("member").alias("a"), F.col("pivot").alias("b"))
-    links = links.unionByName(_verified(star, docs, sizes, k, percent))
+    sets = _sets(docs, members.select("member"), k)
+    near = 100 * F.least("n_shingles", "n") >= percent * F.greatest("n_shingles", "n")
+    star = kept(members.where("member <> pivot").where(near).select(F.col("member").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = links.unionByName(_verified(star, sets, percent))
     members, found = members.where("member <> pivot").select("key", "member", "n_shingles"), components(links)
     placed, buckets = _mixed(members, found)
     if buckets is not None:
-        links = links.unionByName(_compared(placed, docs, k, percent))
+        links = links.unionByName(_compared(placed, sets, percent))
         found = components(links)
     out = named.join(found.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

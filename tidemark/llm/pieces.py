@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -92,31 +93,43 @@ class Lattice:
             first.append(a)
             second.append(b)
             via.append(how)
-        ids: list[int] = []
+        steps = []
         j = len(u)
         while j:
-            e = via[j]
-            ids[:0] = e[2]
-            j = e[0]
+            steps.append(via[j][2])
+            j = via[j][0]
+        ids = [x for step in reversed(steps) for x in step]
         return first[-1], first[-1] - second[-1], np.array(ids, "<u4").tobytes()
 
     def n_best(self, u: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best sums of a unit and their ids, by A* from its end: forward Viterbi sums say exactly what is to come."""
+        """The n best sums of a unit and their ids, by A* from its end: forward Viterbi sums say exactly what is to come.
+
+        Ways to what lies before a place don't depend on how it was reached from the end, so only the n best of those
+        count: a place is passed n times at most, however many ways have equal sums.
+        """
         edges = self.edges(u)
         ahead = [0.0]
         for here in edges:
             ahead.append(max(ahead[e[0]] + e[1] for e in here))
-        queue = [(-ahead[-1], 0, len(u), 0.0, ())]
+        queue = [(-ahead[-1], 0, len(u), 0.0, None)]
+        passed = [0] * (len(u) + 1)
         out, order = [], 0
         while queue and len(out) < n:
-            _, _, j, done, ids = heapq.heappop(queue)
+            _, _, j, done, path = heapq.heappop(queue)
+            if passed[j] == n:
+                continue
+            passed[j] += 1
             if not j:
+                ids: list[int] = []
+                while path is not None:
+                    ids += path[0]
+                    path = path[1]
                 out.append((done, np.array(ids, "<u4").tobytes()))
                 continue
             for e in reversed(edges[j - 1]):  # of equal sums, that with the longer first step back comes later
                 order += 1
                 s = done + e[1]
-                heapq.heappush(queue, (-(s + ahead[e[0]]), order, e[0], s, e[2] + ids))
+                heapq.heappush(queue, (-(s + ahead[e[0]]), order, e[0], s, (e[2], path)))
         return out
 
     def units(self, text: str) -> list[str]:
@@ -217,8 +230,6 @@ def n_best_segments(docs: DataFrame, model_path: str, n: int = 3, id_col: str =
 
 def decode_segments(segments: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """segments with the text of each in `text`; null ids give null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         lattice = Lattice.of(model_path)

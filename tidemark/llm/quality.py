@@ -118,6 +118,7 @@ def fit(described: DataFrame, labels: DataFrame, target: str = "quality", n_feat
     model = Model(np.array([stats[f"m_{s}"] or 0.0 for s in STATISTICS]), np.maximum(scale, 1e-9), rng.normal(size=(d, n_features)) / (width * np.sqrt(d)), rng.uniform(0, 2 * np.pi, n_features), np.zeros(n_features + 1), np.zeros(1), np.array([0.5]))
     if not stats["n"] or stats["good"] in (0, stats["n"]):
         model.share = np.array([stats["good"] / stats["n"]]) if stats["n"] else model.share
+        model.ridge[-1] = model.share[0]
         return model
     p = n_features + 1
 

@@ -53,7 +53,7 @@ class Lattice:
         #: Marks that no piece holds right after a letter: text may be cut before them there.
         self.ends = "".join(c for c in ".,!?;:|&%$#*" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", x) for x in self.pieces))
         self.known: dict[str, tuple[float, float, bytes]] = {}
-        self.lists: dict[str, list[tuple[float, bytes]]] = {}
+        self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
     def of(cls, path: str) -> Lattice:
@@ -179,9 +179,10 @@ class Lattice:
     def _list(self, u: str, n: int) -> list[tuple[float, bytes]]:
         if len(self.lists) > MEMO_LISTS:
             self.lists.clear()
-        if u not in self.lists:
-            self.lists[u] = self.n_best(u, n)
-        return self.lists[u]
+        if (u, n) not in self.lists:
+            best, _, ids = self.known.get(u) or self.best(u)  # of ways with equal sums, best()'s comes first
+            self.lists[u, n] = [(best, ids), *(x for x in self.n_best(u, n) if x[1] != ids)][:n]
+        return self.lists[u, n]
 
     def _ranked(self, names: list[str], values: list[tuple[float, float, bytes]], behind: np.ndarray, n: int) -> list[tuple[float, bytes]]:
         """The n best of a text. Only the n - 1 units whose second best is least behind can change in one of them: a

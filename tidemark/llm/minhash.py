@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept, mix
+from tidemark.llm.common import id_filter, kept, mix
 from tidemark.llm.components import components
 from tidemark.llm.encode import batches
 
@@ -118,7 +118,8 @@ def _linked(percent: int):
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """member, elements (the full set, made anew from the text) of the documents that ids, one column, names."""
-    wanted = ids.toDF("doc_id").distinct()
+    wanted = kept(ids.toDF("doc_id").distinct())
+    docs = kept(docs.where(id_filter(wanted)(F.col("doc_id"))))  # so that few texts are shuffled; and one Python worker to a task
     return kept(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "member long, elements binary"), "none")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept
+from tidemark.llm.common import kept, without
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
@@ -20,8 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, kept(near_duplicates(docs).where("not kept").select("doc_id").distinct()), "doc_id")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

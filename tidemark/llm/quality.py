@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,9 +170,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col
     """The rows of docs, all columns, that score at least threshold; texts are read twice, not shuffled."""
     model = fit(kept(_described(docs, id_col, text_col)), labels, **options)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], "f8").reshape(-1, len(STATISTICS))
-        return pd.Series(model.score(x))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in texts], "f8").reshape(-1, len(STATISTICS))
+        return pa.array(model.score(x))
 
     return docs.where(score(F.col(text_col)) >= threshold)

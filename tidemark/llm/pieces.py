@@ -46,6 +46,8 @@ class Lattice:
         self.unknown = p.unk_id()
         self.has_bytes = all(p.is_byte(i) for i in self.bytes)
         self.longest = max(map(len, self.pieces))
+        #: What pieces begin with: score and ids of those that are pieces themselves, None for others.
+        self.begun = {x[:k]: None for x in self.pieces for k in range(1, len(x))} | {x: (s, (i,)) for x, (s, i) in self.pieces.items()}
         scores = [s for s, _ in self.pieces.values() if s > -1e8]
         #: What a byte (or an unknown character) costs: more than any usual piece.
         self.rare = min(scores) - 10.0
@@ -69,37 +71,50 @@ class Lattice:
         for j in range(1, len(u) + 1):
             here = [(i, s[0], (s[1],)) for i in range(max(0, j - longest), j) if (s := get(u[i:j])) is not None]
             if not here or here[-1][0] != j - 1:
-                raw = u[j - 1].encode("utf-8", "surrogatepass")
-                ids = tuple(self.bytes[b] for b in raw) if self.has_bytes else (self.unknown,)
-                here.append((j - 1, self.rare * len(ids), ids))
+                s, ids = self._rare(u[j - 1])
+                here.append((j - 1, s, ids))
             out.append(here)
         return out
 
+    def _rare(self, c: str) -> tuple[float, tuple[int, ...]]:
+        """Score and ids of a character that is no piece."""
+        raw = c.encode("utf-8", "surrogatepass")
+        ids = tuple(self.bytes[x] for x in raw) if self.has_bytes else (self.unknown,)
+        return self.rare * len(ids), ids
+
     def best(self, u: str) -> tuple[float, float, bytes]:
         """The best sum of a unit, how far the second best is behind (inf if there is none), and the best one's ids."""
-        edges = self.edges(u)
-        first, second, via = [0.0], [-np.inf], [None]
-        for here in edges:
-            a = b = -np.inf
-            how = None
-            for e in here:
-                s = first[e[0]] + e[1]
-                if s > a:
-                    a, b, how = s, a, e
-                elif s > b:
-                    b = s
-                if (s := second[e[0]] + e[1]) > b:
-                    b = s
-            first.append(a)
-            second.append(b)
-            via.append(how)
+        n, get = len(u), self.begun.get
+        first, second, via = [0.0, *[-np.inf] * n], [-np.inf] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            f, g = first[i], second[i]
+            j = i
+            while j < n:
+                j += 1
+                edge = get(u[i:j], False)
+                longer = edge is not False
+                if not edge:
+                    if j > i + 1:
+                        if longer:
+                            continue
+                        break
+                    edge = self._rare(u[i])
+                w = edge[0]
+                s = f + w
+                if s > first[j]:
+                    second[j], first[j], via[j] = first[j], s, (i, edge[1])
+                elif s > second[j]:
+                    second[j] = s
+                if g + w > second[j]:
+                    second[j] = g + w
+                if not longer:
+                    break
         steps = []
-        j = len(u)
+        j = n
         while j:
-            steps.append(via[j][2])
-            j = via[j][0]
-        ids = [x for step in reversed(steps) for x in step]
-        return first[-1], first[-1] - second[-1], np.array(ids, "<u4").tobytes()
+            j, ids = via[j]
+            steps.append(ids)
+        return first[-1], first[-1] - second[-1], np.array([x for ids in reversed(steps) for x in ids], "<u4").tobytes()
 
     def n_best(self, u: str, n: int) -> list[tuple[float, bytes]]:
         """The n best sums of a unit and their ids, by A* from its end: forward Viterbi sums say exactly what is to come.

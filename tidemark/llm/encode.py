@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,3 +194,11 @@ class CountMemo(_Memo):
         rows = np.flatnonzero(odd)
         out[rows] = self._whole(texts.take(pa.array(rows)).to_pylist())
         return out
+
+
+def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
+    """What counts the ids of each text: by word ends if the vocabulary has them, else by byte-level pre-tokens."""
+    if (memo := CountMemo.of(path)).closes.any():
+        return memo.count
+    ids = IdMemo.of(path)
+    return lambda texts: np.diff(ids.encode(texts)[1])

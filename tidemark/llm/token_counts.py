@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import kept
-from tidemark.llm.encode import CountMemo, batches
+from tidemark.llm.encode import batches, counter
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -46,10 +46,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     missing = owners if cache_path is None else owners.join(cache, "digest", "left_anti")
 
     def counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = CountMemo.of(tokenizer_path)
+        count = counter(tokenizer_path)
         for b in parts:
             for at, texts in batches(b.column(1)):
-                yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array(memo.count(texts))], ["digest", "n_tokens"])
+                yield pa.record_batch([b.column(0).slice(at, len(texts)), pa.array(count(texts))], ["digest", "n_tokens"])
 
     # ids are near unique, so neither side is skewed; a text that only shares its id with an owner is dropped by its digest
     to_encode = docs.join(missing.toDF("owned", "owner"), F.col("doc_id").eqNullSafe(F.col("owner"))).where(digest == F.col("owned")).select("owned", "text")

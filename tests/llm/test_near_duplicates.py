@@ -216,6 +216,26 @@ def test_neighbours(spark, sf):
     assert all(np.isclose(s, scores[q, j], rtol=1e-12) for q in got for s, j in got[q] if (q, j) in scores)
 
 
+@pytest.mark.parametrize("dim,share", [(32, 3), (33, 10)])
+def test_neighbours_within_a_group_of_near_copies(spark, dim, share):
+    """One batch in which a third or a tenth of the rows are near copies: all neighbours are found."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(6000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = np.arange(6000) % share == 0
+    x[group] = x[0] + rng.normal(size=(group.sum(), dim)) * 1e-3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    index, books = build_index(frame)
+    got = {}
+    for r in search(index, books, index.where("vec_id % 100 in (0, 1)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 120
+    for i, near in got.items():
+        far = np.sqrt(((x - x[i]) ** 2).sum(1))
+        far[i] = np.inf
+        assert near == np.lexsort((np.arange(6000), far))[:10].tolist(), i
+
+
 def test_few_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.5]), (2, [1.0, 0.0, 1.5]), (3, None), (4, [0.0] * 3), (5, [float("nan"), 1.0, 1.0]), (100, [3.0, 4.0]), (200, [None, 1.0, 1.0])]
     index, books = build_index(spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<double>, score double"))

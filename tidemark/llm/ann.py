@@ -1,7 +1,8 @@
 """Nearest neighbours by score-aware anisotropic quantisation, four-bit table scans and exact reranking.
 
 Nearness by Euclidean distance is a maximum inner product: |q - x| is least where q.x - |x|^2 / 2 is largest. Codes
-approximate q.x; |x|^2 / 2 is kept as it is.
+approximate q.x; |x|^2 / 2 is kept as it is. A code's vector c and its error |x - c| bound what a scan may leave out:
+|q - x| >= |q - c| - |x - c|.
 """
 
 from __future__ import annotations
@@ -49,6 +50,10 @@ class Codebook:
                 along = turned[np.arange(len(x)), codes[:, m]]
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for, with a last dimension more where theirs are odd."""
+        return self.centres[np.arange(len(self.centres)), codes].reshape(len(codes), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of each query with all centres, two subspaces to a table: (bytes, queries, 256)."""
         parts = self._parts(q)
@@ -101,7 +106,8 @@ def fit_codebook(x: np.ndarray, threshold: float = 0.2, rounds: int = 4, seed: i
 
 
 def build_index(vectors: DataFrame, sample: int = 4096, threshold: float = 0.2, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, Codebook]]:
-    """The index, a table of vec_id, half_norm, codes (four bits for two dimensions) and embedding, and its codebooks.
+    """The index, a table of vec_id, half_norm, codes (four bits for two dimensions), code_norm (the squared length of what
+    the codes stand for), gap (its distance from the embedding) and embedding, and its codebooks.
 
     Codebooks are fitted on at most about `sample` valid vectors of all rows, drawn by a hash of their ids; every valid
     row is indexed. Null, zero and non-finite vectors and null ids are left out. Each vector length has a codebook.
@@ -118,17 +124,25 @@ def build_index(vectors: DataFrame, sample: int = 4096, threshold: float = 0.2,
         for b in parts:
             for some, x in by_length(b.column(1), np.flatnonzero(valid_rows(b.column(1)))):
                 book = books.get(x.shape[1])
-                codes = pack_codes(book.encode(x)) if book else np.zeros((len(x), 0), "u1")
+                codes, made = np.zeros((len(x), 0), "u1"), np.zeros_like(x)
+                if book:
+                    codes = book.encode(x)
+                    codes, made = pack_codes(codes), book.decode(codes)
+                gap = np.sqrt(((np.pad(x, ((0, 0), (0, made.shape[1] - x.shape[1]))) - made) ** 2).sum(1))
                 rows = pa.array(some)
-                yield pa.record_batch([b.column(0).take(rows), pa.array((x * x).sum(1) / 2), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1).take(rows)], ["vec_id", "half_norm", "codes", "embedding"])
+                yield pa.record_batch([b.column(0).take(rows), pa.array((x * x).sum(1) / 2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((made * made).sum(1)), pa.array(gap), b.column(1).take(rows)], ["vec_id", "half_norm", "codes", "code_norm", "gap", "embedding"])
 
-    return kept(rows.mapInArrow(encoded, "vec_id long, half_norm double, codes binary, embedding array<double>")), books
+    return kept(rows.mapInArrow(encoded, "vec_id long, half_norm double, codes binary, code_norm double, gap double, embedding array<double>")), books
 
 
 def _scan(ids: np.ndarray, q: np.ndarray, k: int, rerank: int, book: Codebook | None):
-    """A task's best k rows of each query, over its batches."""
+    """A task's k nearest rows of each query, over its batches."""
     dim = q.shape[1]
     tables = book.tables(q) if book else None
+    if tables is not None:
+        lengths = (q * q).sum(1)
+        # what summing single-precision products may add to or take from a squared distance, at most
+        slack = 4 * (len(tables) + 2) * 2.0**-24 * np.abs(tables.astype("f8")).max(2).sum(0)
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, names = [np.empty(0) for _ in ids], [np.empty(0, "i8") for _ in ids]
@@ -136,28 +150,43 @@ def _scan(ids: np.ndarray, q: np.ndarray, k: int, rerank: int, book: Codebook |
             rows = np.flatnonzero(np.asarray(b.column("embedding").value_lengths()) == dim)
             if not len(rows):
                 continue
-            rows = rows[np.argsort(np.asarray(b.column("vec_id"))[rows], kind="stable")]
             b = b.take(pa.array(rows))
             vec, x = np.asarray(b.column("vec_id")), np.asarray(b.column("embedding").flatten(), "f8").reshape(-1, dim)
-            r = min(len(vec), rerank)
-            if tables is not None and r < len(vec):
+            products = None
+            if tables is not None and rerank < len(vec):
                 codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), "u1").reshape(len(vec), -1)
-                scores = np.repeat(-np.asarray(b.column("half_norm"), "f4")[None], len(ids), 0)
+                half, code_norm, gap = (np.asarray(b.column(c), "f8") for c in ("half_norm", "code_norm", "gap"))
+                products = np.zeros((len(ids), len(vec)), "f4")
                 for t, table in enumerate(tables):
-                    scores += table[:, codes[:, t]]
-            else:
-                scores, r = None, len(vec)
-            for i in range(len(ids)):
-                near = np.arange(len(vec))
-                if scores is not None:  # of equal scores, those of the smallest ids
-                    bar = np.partition(scores[i], len(vec) - r)[len(vec) - r]
-                    sure = np.flatnonzero(scores[i] > bar)
-                    near = np.concatenate([sure, np.flatnonzero(scores[i] == bar)[: r - len(sure)]])
+                    products += table[:, codes[:, t]]
+
+            def compare(i: int, near: np.ndarray) -> None:
                 near = near[vec[near] != ids[i]]
                 far = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
                 all_ids, all_far = np.concatenate([names[i], vec[near]]), np.concatenate([best[i], far])
                 top = np.lexsort((all_ids, all_far))[:k]
                 names[i], best[i] = all_ids[top], all_far[top]
+
+            for i in range(len(ids)):
+                if products is None:
+                    compare(i, np.arange(len(vec)))
+                    continue
+                least = lengths[i] + code_norm
+                least = least * (1 - 1e-12) - 2.0 * products[i] - slack[i]
+
+                def open_rows(i: int = i, least: np.ndarray = least) -> np.ndarray:
+                    """Rows that may be as near as the k-th so far."""
+                    return ~(least > (best[i][-1] + gap) ** 2) if len(best[i]) == k else np.ones(len(vec), bool)
+
+                # the best by score first, which closes most others; then all that are still open
+                near = np.flatnonzero(open_rows())
+                if len(near) > rerank:
+                    near = near[np.argpartition(half[near] - products[i, near], rerank)[:rerank]]
+                compare(i, near)
+                left = open_rows()
+                left[near] = False
+                if left.any():
+                    compare(i, np.flatnonzero(left))
         sizes = [len(x) for x in names]
         yield pa.record_batch([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(names)), pa.array(np.concatenate(best))], ["query_id", "vec_id", "score"])
 
@@ -168,8 +197,8 @@ def search(index: DataFrame, books: dict[int, Codebook], queries: DataFrame, k:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows but its own id, nearest first, ties to smaller ids.
 
     queries: vec_id and embedding of the index. Blocks of about `block` queries go to all tasks in turn (the bound on what
-    is broadcast), each scans its rows' codes, and of each Arrow batch the best `rerank` are compared exactly, so recall
-    does not fall as rows are added. A task returns k rows for a query. Rows sharing a query's id are not its neighbours;
+    is broadcast), each scans its rows' codes, and of each Arrow batch the best `rerank` are compared exactly, and then every
+    row that the bound of its code's error leaves open, however many: results are exact. A task returns k rows for a query. Rows sharing a query's id are not its neighbours;
     queries given twice are answered once.
     """
     queries = queries.select("vec_id", "embedding").dropDuplicates(["vec_id"])

@@ -162,6 +162,19 @@ def test_licences(spark):
     assert len(made[4].sentences) >= 1
 
 
+def test_numbered_and_narrow_licences(spark):
+    mit = [SENTENCES[k] for k in ("mit-grant", "mit-condition", "mit-warranty")]
+    bsd = [SENTENCES[k] for k in ("bsd-source", "bsd-binary", "bsd-names")]
+    listed = lambda form, n: "\n".join([SENTENCES["bsd-grant"], *(form(i) + s for i, s in enumerate(bsd[:n]))])
+    cases = [("\n * ".join(" ".join(mit).split()), ["MIT"]), ("\n".join(re.findall(r".{1,20}(?:\s|$)", " ".join(mit))), ["MIT"])]
+    for form in (lambda i: f"{i + 1}. ", lambda i: f"({i + 1}) ", lambda i: f" {'abc'[i]}) ", lambda i: f"# {('i', 'ii', 'iii')[i]}. ", lambda i: f"{i + 1}.\n"):
+        cases += [(listed(form, 3), ["BSD-3-Clause"]), (listed(form, 2), ["BSD-2-Clause"]), (listed(form, 3).replace("\n", " "), ["BSD-3-Clause"])]
+    cases += [(SENTENCES["bsd-grant"] + "\n1. Something else.\n2. " + bsd[0] + "\n3. " + bsd[1], []), ("This work is licensed under the GNU General Public License, version\n3.", ["GPL-3.0-only"])]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    made = {r.doc_id: list(r.licences) for r in scan_licences(frame).collect()}
+    assert made == {i: w for i, (_, w) in enumerate(cases)}
+
+
 def test_licence_query_by_brute_force(spark, docs):
     """Every known sentence that stands between breaks of the normalised text is found."""
     made = {r.doc_id: r for r in queries.op6_licences(spark, D).collect()}

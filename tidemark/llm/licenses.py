@@ -53,6 +53,8 @@ RULES = [
 ]
 _BREAK = re.compile(r"\n+|(?<=[.!?;:])[^\w\n]*\s+")
 _WORD = re.compile(r"[^\W_]+")
+#: What a list item begins with: "1.", "(2)", "b)", "iv.".
+_MARKER = re.compile(r"[^\w\n]*(?:\d{1,3}|[a-z]|[ivx]{1,5})[.):\]]+(?:[^\w\n]*\s+|\W*$)")
 
 
 def normal(sentence: str) -> str:
@@ -65,7 +67,7 @@ class Rules:
 
     def __init__(self, sentences: dict[str, str], rules: list[tuple[str, tuple[str, ...]]]):
         self.known = {normal(s): name for name, s in sentences.items()}
-        self.longest = max(map(len, self.known))
+        self.beginnings = {k[:i] for k in self.known for i in range(1, len(k) + 1) if k[i : i + 1] in ("", " ")}
         # a sentence can stand in a text only if its longest word does
         self.anchors = sorted({max(k.split(), key=len) for k in self.known}, key=len)
         self.anchors = [a for i, a in enumerate(self.anchors) if not any(b in a for b in self.anchors[:i])]
@@ -80,18 +82,26 @@ class Rules:
         low = text.lower()
         if not any(a in low for a in self.anchors):
             return []
-        units = [u for u in (normal(s) for s in _BREAK.split(low)) if u]
+        units, marks = [], []
+        for s in _BREAK.split(low):
+            if m := _MARKER.match(s):
+                units.append(normal(m[0]))
+                marks.append(True)
+                s = s[m.end() :]
+            if u := normal(s):
+                units.append(u)
+                marks.append(False)
         out: list[str | None] = []
         i = 0
         while i < len(units):
             name, taken, joined = None, 1, ""
-            for j in range(i, min(i + 12, len(units))):  # the longest run of units that is a known sentence
+            for j in range(i, len(units)):  # the longest run of units that is a known sentence
                 joined = f"{joined} {units[j]}" if joined else units[j]
-                if len(joined) > self.longest:
+                if joined not in self.beginnings:
                     break
                 if joined in self.known:
                     name, taken = self.known[joined], j - i + 1
-            if name is not None or not out or out[-1] is not None:
+            if name is not None or not marks[i] and (not out or out[-1] is not None):
                 out.append(name)
             i += taken
         return out
@@ -115,8 +125,8 @@ class Rules:
 def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentences array<string> (known sentences in order) and licences array<string> of every whole text.
 
-    Sentences end at lines and after marks; a known sentence may run over up to twelve such units. A rule fits where its
-    sentences follow each other with no other text between. Null and empty texts, and texts with no known sentence, have
+    Sentences end at lines and after marks; a known sentence may run over any number of such units. A rule fits where
+    its sentences follow each other with no other text between; list markers are no text. Null and empty texts, and texts with no known sentence, have
     empty arrays. Repeated rows give rows each; null ids stay; other columns are ignored. Nothing is shuffled.
     """
     made = Rules(sentences, rules)

@@ -117,6 +117,34 @@ def test_what_is_not_valid_stays(spark):
     assert replaced(spark, *texts) == texts
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111111111111111"
+    spaced = "4111 1111 1111 1111"
+    alone = replaced(spark, card)[0]
+    forms = ["{} 123", "{} 12", "7 {}", "12345 {} 999", "{} 2024", "no. {}-1", "{} 3.5", "at 12 {} 08 15", "{} 5500-0000-0000-0004 1"]
+    for form, made, grouped in zip(forms, replaced(spark, *(f.format(card) for f in forms)), replaced(spark, *(f.format(spaced) for f in forms))):
+        assert alone in made and card not in made, form
+        assert alone in grouped.replace(" ", "") and spaced not in grouped, form
+        if "5500" not in form:
+            assert made == form.format(alone)
+    (other,) = replaced(spark, f"{card} 123-45-6789 2024-02-29 x@y.org {card}@mail.org")
+    assert other.startswith(alone + " ") and not re.search(f"123-45-6789|2024-02-29|x@|{card}|[\ufdd0\ufdd1]", other)
+    rows = [" ".join(map(str, range(200, 260))), "4111111111111112 123", "1234 5678 9012 3456 7"]
+    assert replaced(spark, *rows)[1:] == rows[1:]
+
+
+def test_national_and_grouped_telephone_numbers(spark):
+    texts = ["555-123-4567", "555.123.4567", "1-555-123-4567", "+44 20 7946 0958", "020 7946 0958", "+33 1 23 45 67 89", "01 23 45 67 89", "+49 30 1234567"]
+    made = replaced(spark, *(f"call {t}." for t in texts))
+    shape = lambda s: re.sub(r"\d", "9", s)
+    for t, m in zip(texts, made):
+        assert m != f"call {t}." and shape(m) == shape(f"call {t}.")
+    assert made[0][5:] == made[2][7:] == made[1][5:].replace(".", "-", 2) and made[3][9:] == made[4][6:]
+    assert [m[5:8] for m in (made[3], made[5], made[7])] == ["+44", "+33", "+49"] and made[5][9:] == made[6][6:]
+    same = ["1234-555-123-4567", "12 345 6789", "+10 20 30", "555-123-45678", "3.555.123.4567", "2024-01"]
+    assert replaced(spark, *same) == same
+
+
 def test_pii_query(spark, docs):
     made = {r.doc_id: r for r in queries.op5_pii(spark, D).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}

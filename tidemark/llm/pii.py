@@ -9,11 +9,24 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 SOCIAL = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
-PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4})(?!\d)"
-CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![.]?\d)"
+PHONE = "(?:" + "|".join([
+    r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"\+[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\d)",
+    r"\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    r"(?<!\d)(?<!\d[.-])(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d\d[ .-][2-9]\d\d[ .-]\d{4})(?!\d|[.-]\d)",
+    r"(?<!\d)(?<!\d[.-])\(?0[1-9](?:\d{0,3}\)?[ .-]\d{3,4}[ .-]\d{3,4}|(?:[ .-]\d\d){4})(?!\d|[.-]\d)",
+]) + ")"
+#: Cards are found first, in runs of digit groups, and stand between two noncharacters of Unicode when all else is sought.
+MARKS = "\ufdd0", "\ufdd1"
+CARD = f"{MARKS[0]}[0-9 -]+{MARKS[1]}"
+RUN = r"(?<![\d.])(?=\d(?:[ -]?\d){12})\d++(?!\.\d)(?:[ -]\d++(?!\.\d))*+"
+#: Numbers that issuers give out, with their lengths. Other numbers count as cards if they stand alone.
+ISSUED = "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12,17}|35[0-9]{14,17}|5[0678][0-9]{11,17}|6[0-9]{12,18}|8[12][0-9]{14}|9792[0-9]{12}|1[0-9]{14})$"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "social": SOCIAL, "phone": PHONE, "card": CARD, "secret": SECRET}
 ANY = "|".join(KINDS.values())
+#: Country codes of one and two digits; others have three.
+SHORT_CODES = "1|7", "20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ROUNDS = 8
 #: Days from FIRST_DAY on that dates are permuted in: 150 * 487.
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)
@@ -43,6 +56,41 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
+def _cards_marked(run: Column) -> Column:
+    """A run of digit groups with MARKS around the cards in it: whole groups of 13 to 19 digits by Luhn's check.
+
+    Numbers of issuers come first, then the whole run and single groups, each from left to right and the longest first;
+    what overlaps one of these is left.
+    """
+    digit = lambda i: F.substring(run, i, F.lit(1)).rlike("[0-9]")
+    starts = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+
+    def tried(i: Column) -> Column:
+        rest = F.substring(run, i, F.lit(38))  # 19 digits, 18 marks between them and what follows
+        forms = F.array(*(F.regexp_extract(rest, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(13, 20)))
+        return F.transform(F.filter(forms, lambda m: m != ""), lambda m: F.struct(_rank(m).alias("rank"), i.alias("at"), (-F.length(m)).alias("less"), m.alias("m")))
+
+    def _rank(m: Column) -> Column:
+        d = F.regexp_replace(m, "[ -]", "")
+        return F.when(_luhn_sum(d, 1) % 10 != 0, 9).when(d.rlike(ISSUED), 0).when((m == run) | (d == m), 1).otherwise(9)
+
+    found = F.array_sort(F.filter(F.flatten(F.transform(starts, tried)), lambda c: c["rank"] < 9))
+    none = F.filter(found, lambda c: F.lit(False))
+    apart = lambda c, t: (c["at"] >= t["at"] - t["less"]) | (t["at"] >= c["at"] - c["less"])
+    taken = F.aggregate(found, none, lambda s, c: F.when(F.forall(s, lambda t: apart(c, t)), F.concat(s, F.array(c))).otherwise(s))
+    in_order = F.array_sort(F.transform(taken, lambda c: F.struct(c["at"].alias("at"), c["m"].alias("m"))))
+    step = lambda s, c: F.struct(F.concat(s["out"], F.substring(run, s["next"], c["at"] - s["next"]), F.lit(MARKS[0]), c["m"], F.lit(MARKS[1])).alias("out"), (c["at"] + F.length(c["m"])).alias("next"))
+    return F.aggregate(in_order, F.struct(F.lit("").alias("out"), F.lit(1).alias("next")), step, lambda s: F.concat(s["out"], F.substring(run, s["next"], F.length(run))))
+
+
+def _marked(text: Column) -> Column:
+    """text with MARKS around cards; e-mail addresses and secrets are passed over."""
+    seen = f"{EMAIL}|{SECRET}|{RUN}"
+    new = F.transform(F.regexp_extract_all(text, F.lit(seen), F.lit(0)), lambda m: F.when(m.rlike("^[0-9 -]+$"), _cards_marked(m)).otherwise(m))
+    made = F.array_join(F.transform(F.arrays_zip(F.split(text, seen, -1).alias("t"), new.alias("n")), lambda z: F.concat(z["t"], F.coalesce(z["n"], F.lit("")))), "")
+    return F.when(text.rlike(RUN), made).otherwise(text)
+
+
 def _refilled(form: Column, digits: Column) -> Column:
     """form with its digits replaced, in order, by those of digits."""
     step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(digits, s["n"] + 1, F.lit(1))).alias("out"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["n"].alias("n")))
@@ -61,8 +109,10 @@ def _pseudonym(m: Column, key: str) -> Column:
 
 def _of_kind(s: Column, key: str) -> Column:
     m, kind, d, n = s["m"], s["kind"], s["d"], s["n"]
-    # the digits that change: cards keep no check digit, telephone numbers their country
-    body = F.when(kind == "card", F.substring(d, F.lit(1), n - 1)).when(kind == "phone", F.substring(d, F.greatest(n - 9, F.lit(1)), F.lit(10))).otherwise(d)
+    # the digits that change: cards keep no check digit, telephone numbers their country or the 0 before their area
+    code = F.when(d.rlike(f"^(?:{SHORT_CODES[0]})"), 1).when(d.rlike(f"^(?:{SHORT_CODES[1]})"), 2).otherwise(3)
+    local = F.least(F.lit(10), n - F.when(m.startswith("+"), code).when(d.startswith("0"), 1).otherwise(0))
+    body = F.when(kind == "card", F.substring(d, F.lit(1), n - 1)).when(kind == "phone", F.substring(d, n - local + 1, local)).otherwise(d)
     size = F.length(body)
     half = (size / 2).cast("int")
     octets = F.split(m, "\\.")
@@ -83,7 +133,7 @@ def _of_kind(s: Column, key: str) -> Column:
         ip = F.concat_ws(".", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)
         date = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int")), "yyyy-MM-dd")
         country = F.substring(d, F.lit(1), n - size)
-        return F.when(is_ip, ip).when(is_date, date).when(kind == "card", _refilled(m, F.concat(made, check))).when(kind == "phone", _refilled(m, F.concat(country, made))).otherwise(_refilled(m, made))
+        return F.when(is_ip, ip).when(is_date, date).when(kind == "card", _refilled(F.regexp_replace(m, f"[{MARKS[0]}{MARKS[1]}]", ""), F.concat(made, check))).when(kind == "phone", _refilled(m, F.concat(country, made))).otherwise(_refilled(m, made))
 
     number = F.element_at(F.transform(F.array(moved), told), 1)
     at = F.locate("@", m)
@@ -97,12 +147,13 @@ def _of_kind(s: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with personal data in text_col replaced by pseudonyms of the same form; all other columns are kept.
 
-    Numbers and dates count if they are valid: cards (Luhn's check digit, computed anew), telephone numbers (the country
-    stays), social security numbers, IPv4 addresses and ISO dates. Within its format each is permuted by a Feistel network
+    Numbers and dates count if they are valid: cards (Luhn's check digit, computed anew; also beside other numbers),
+    telephone numbers (the country stays; ten bare digits are no telephone number), social security numbers, IPv4 addresses and ISO dates. Within its format each is permuted by a Feistel network
     keyed with `key`, so equal values get equal pseudonyms in all documents, whatever their separators, and different
     values different ones. Names before an e-mail's domain and long hexadecimal secrets become keyed digests. count_col,
     if given, gets the number of matches that changed. Null and empty texts stay; invalid numbers stay.
     """
+    docs = docs.withColumn(text_col, _marked(F.col(text_col)))
     text = F.col(text_col)
     some = text.rlike("[0-9@]")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))

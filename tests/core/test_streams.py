@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cursor import Cursor
 from tidemark.operators import partition as parts
-from tidemark.operators.stream import as_sequential_stream, as_stream, of
+from tidemark.operators.stream import as_sequential_stream, as_stream, create, numbered, of
 
 
 def ints(spark, n, low=1):
@@ -118,3 +118,61 @@ def test_trace_and_builder(spark):
     assert values(stream.fetch()) == [3, 4, 5] and told == [(2, 3), 3] and stream.id == "y"
     with pytest.raises(ValueError):
         of("x").create(lambda: None)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_gapless_over_many_files_of_wide_rows(spark, tmp_path, adaptive):
+    n = 60_000
+    wide = spark.range(n).select(F.xxhash64("id").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("pad"))
+    wide.repartition(12).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.read.parquet(str(tmp_path / "t"))
+        assert df.rdd.getNumPartitions() >= 8 or spark.sparkContext.defaultParallelism < 8
+        made = numbered(df, ["k"])
+        ends = made.agg(F.count("*"), F.countDistinct("position"), F.min("position"), F.max("position"), F.countDistinct("pad")).first()
+        assert tuple(ends) == (n, n, 1, n, n)
+        want = [r[0] for r in df.select("k").orderBy("k").collect()]
+        assert [r[0] for r in made.orderBy("position").select("k").collect()] == want
+        stream, at = as_sequential_stream(df.select("k"), ["k"]), Cursor(29_990)
+        assert values(stream.fetch(at, 20), "k") == want[29_990:30_010] and at.position == 30_010
+        assert values(stream.fetch(Cursor(n - 5), 20), "k") == want[-5:]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_an_empty_sequence_has_no_rows(spark):
+    df = spark.createDataFrame([], "k long, position_of string")
+    assert numbered(df, ["k"]).count() == 0
+    assert as_sequential_stream(df, ["k"]).fetch(n=5).is_empty
+
+
+def test_a_query_of_ones_own_sees_position_and_size_and_says_where_it_ends(spark):
+    asked = []
+
+    def query(position, n):
+        asked.append((position, n))
+        return ints(spark, 100).where(f"value > {2 * position}").orderBy("value").limit(n)
+
+    stream, at = create("own", query, lambda rows, position: position + rows.count(), 0, 3), Cursor(0)
+    assert [values(stream.fetch(at)) for _ in range(2)] == [[1, 2, 3], [7, 8, 9]]
+    assert asked == [(0, 3), (3, 3)] and at.position == 6
+    built = of("x").advance(lambda rows, position: 50, 4).batches_of(2).create(query)
+    batch = built.fetch()
+    assert (values(batch), batch.starts_at, batch.ends_at) == ([9, 10], 4, 50)
+    halves = create("own", query, lambda rows, position: 1, 0).within("value", parts.by_range(0, 2))
+    assert values(halves.fetch(n=9)) == [1, 2]
+
+
+def test_cursors_can_be_expressions(spark):
+    stream, at = as_stream(ints(spark, 10), -F.col("value")), Cursor()
+    assert [values(stream.fetch(at, 4)) for _ in range(3)] == [[7, 8, 9, 10], [3, 4, 5, 6], [1, 2]]
+    assert at.position == -1
+
+
+def test_null_keys_are_keys_of_their_own(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], "id int, key string")
+    up = as_stream(df, "id")
+    assert values(up.into_many(up, "key").fetch(n=2), "id") == [1, 2]
+    assert values(up.into_many(up, "key", bounded=False).fetch(n=2), "id") == [1, 2, 4]

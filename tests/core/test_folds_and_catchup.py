@@ -1,4 +1,5 @@
 import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tidemark.operators.fold import Fold, PythonFold, pipeline, traced
 from tidemark.operators.stream import as_stream
 from tidemark.plans.catchup import Catchup, KeyedCatchup, PartitionedCatchup, backoff
 from tidemark.plans.lease import for_partitions
-from tidemark.plans.store import CallableStore, CursorStore, MemoryStore, ParquetStore, TracedStore
+from tidemark.plans.store import CallableCursors, CallableStore, CursorStore, MemoryStore, ParquetStore, RetryingStore, TracedStore, retried
 
 
 @pytest.fixture
@@ -183,3 +184,136 @@ def test_poll_runs_until_stopped(events):
         time.sleep(0.05)
     stop()
     assert seen == [15, 15, 10]
+
+
+def test_keys_that_are_null_catch_up_like_others(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "id long, key string")
+    count, store = Fold(("key",), {"n": (F.count("*"), "sum")}, "id"), MemoryStore()
+    run = KeyedCatchup(as_stream(df, "id"), lambda: df, "key", batch_size=3)
+    run.subscribe(count, store, "s")
+    run.run_until_caught_up()
+    assert rows(store.get("s")) == [("a", 2, 3), (None, 2, 4)]
+    again = count(store.get("s"), as_stream(df, "id").fetch(n=None))
+    assert rows(again) == [("a", 2, 3), (None, 2, 4)]
+
+
+def test_keys_read_from_the_batch_on_but_from_further_back_where_one_failed(spark, events):
+    def step(key, old, new):
+        if key[0] == 1 and new["id"].max() == 21:
+            raise ValueError("no")
+        return new.iloc[:1][["key"]].assign(n=len(new) + (int(old["n"].iloc[0]) if len(old) else 0), cursor_position=int(new["id"].max()))
+
+    store, seen = MemoryStore(), []
+    run = KeyedCatchup(as_stream(events, "id"), lambda: events, "key", batch_size=12)
+    run.subscribe(PythonFold(("key",), step, "key long, n long, cursor_position long", "id"), store, "s")
+    run.subscribe(name="act", act=lambda b: seen.append(b.df.agg(F.min("id")).first()[0]))
+    for n, of_one, failed in ((12, 3, False), (12, 3, True), (12, 9, False), (4, 10, False)):
+        assert run.run_single_batch() == n
+        got = {r["key"]: (r["n"], r["error"] is not None) for r in store.get("s").collect()}
+        assert got[1] == (of_one, failed) and not got[2][1]
+    assert seen == [1, 13, 10, 37]  # the third batch goes back to where key 1 stopped
+    assert {k: n for k, (n, _) in got.items()} == dict.fromkeys(range(4), 10)
+
+
+def test_a_late_subscriber_gets_its_keys_whole_history(spark, events):
+    first, late = MemoryStore(), MemoryStore()
+    run = KeyedCatchup(as_stream(events, "id"), lambda: events, "key", batch_size=20)
+    run.subscribe(fold(), first, "s")
+    run.run_single_batch()
+    run.subscribe(fold(), late, "s")
+    run.run_until_caught_up()
+    assert rows(first.get("s")) == rows(late.get("s")) == rows(fold().delta(events))
+
+
+def test_positions_outlive_a_catchup(spark, events):
+    cursors, store, seen = CursorStore(spark, MemoryStore()), MemoryStore(), []
+    for _ in range(3):
+        run = Catchup(as_stream(events, "id", "e"), batch_size=15, cursors=cursors)
+        run.subscribe(name="effects", act=lambda b: seen.append((b.starts_at, b.ends_at)))
+        run.run_single_batch()
+    assert seen == [(None, 15), (15, 30), (30, 40)]
+    for _ in range(2):
+        keyed = KeyedCatchup(as_stream(events, "id", "k"), lambda: events, "key", batch_size=20, cursors=cursors)
+        keyed.subscribe(fold(), store, "s")
+        keyed.run_single_batch()
+        assert keyed.subscribers[0].since == keyed.cursor.position
+    assert rows(store.get("s")) == rows(fold().delta(events)) and cursors.get("k/all") == 40
+    each = parts.by_range(0, 40).among(2)
+    for _ in range(2):
+        run = PartitionedCatchup(as_stream(events, "id", "p").partitioned("id"), each, 12, cursors=cursors)
+        run.subscribe(act=lambda b: None)
+        run.run_single_batch()
+    assert run.cursors() == {"partition:0-20": 20, "partition:20-40": 40}
+    positions = {}
+    own = CallableCursors(lambda s, p: positions.get((s, p)), lambda s, at, p: positions.update({(s, p): at}))
+    run = Catchup(as_stream(events, "id", "o"), Cursor(), 9, own)
+    run.subscribe(act=lambda b: None)
+    run.run_single_batch()
+    assert positions == {("o", ""): 9, ("o", "o-0/since"): 9}
+    cursors.put("t", datetime(2020, 1, 2, 3))
+    assert cursors.get("t") == datetime(2020, 1, 2, 3)
+
+
+def test_a_batch_that_failed_comes_again(events):
+    seen, fail = [], [True]
+
+    def act(batch):
+        seen.append(batch.starts_at)
+        if fail.pop() if fail else False:
+            raise ValueError("once")
+
+    run = Catchup(as_stream(events, "id"), Cursor(), 25)
+    run.subscribe(act=act)
+    with pytest.raises(ValueError):
+        run.run_single_batch()
+    run.run_until_caught_up()
+    assert seen == [None, None, 25]
+
+
+def test_polling_goes_on_after_an_error_and_tells_of_it(events):
+    told, seen, fail = [], [], [True]
+
+    def act(batch):
+        if fail:
+            fail.pop()
+            raise ValueError("once")
+        seen.append(batch.count)
+
+    run = Catchup(as_stream(events, "id"), batch_size=None)
+    run.subscribe(act=act)
+    stop = run.poll(0.01, told.append)
+    end = time.time() + 60
+    while not seen and time.time() < end:
+        time.sleep(0.05)
+    stop()
+    assert seen == [40] and [str(e) for e in told] == ["once"] and str(run.error) == "once"
+
+
+def test_catching_up_ends_where_only_a_failing_subscriber_is_behind(events):
+    run = Catchup(as_stream(events, "id"), batch_size=20)
+    run.subscribe(act=lambda b: 1 / 0, on_error=lambda f: f.go_on())
+    run.subscribe(act=lambda b: None)
+    assert run.run_until_caught_up(60) >= 20
+
+
+def test_passing_failures_are_tried_again(spark, events):
+    calls = []
+
+    def work():
+        calls.append(None)
+        if len(calls) < 3:
+            raise OSError("passing")
+        return "done"
+
+    assert retried(work, pause=0.001) == "done" and len(calls) == 3
+    with pytest.raises(ValueError):
+        retried(lambda: (_ for _ in ()).throw(ValueError("lasting")), pause=0.001)
+
+    class Shaky(MemoryStore):
+        def get(self, name):
+            calls.append(name)
+            if calls.count(name) == 1:
+                raise OSError("passing")
+            return super().get(name)
+
+    assert RetryingStore(Shaky(), pause=0.001).get("x") is None

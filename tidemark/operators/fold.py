@@ -49,9 +49,10 @@ class Fold:
         return df.groupBy(*self.keys).agg(*(c.alias(n) for n, (c, _) in self.values.items()), F.max(self.cursor).alias(CURSOR))
 
     def unseen(self, state: DataFrame, df: DataFrame) -> DataFrame:
-        at = state.select(*self.keys, F.col(CURSOR).alias("_at"))
-        rows = df.join(at, list(self.keys), "left")
-        return rows.where(F.col("_at").isNull() | (F.col(self.cursor) > F.col("_at"))).drop("_at")
+        """The rows beyond the position of their key's state; null keys are keys like others."""
+        at = state.select(*(F.col(k).alias(f"_of_{k}") for k in self.keys), F.col(CURSOR).alias("_at"))
+        rows = df.join(at, functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in self.keys)), "left")
+        return rows.where(F.col("_at").isNull() | (F.col(self.cursor) > F.col("_at"))).select(df.columns)
 
     def merge(self, state: DataFrame, delta: DataFrame) -> DataFrame:
         """One full outer join on the keys."""
@@ -81,17 +82,24 @@ class PythonFold:
     schema: str
     cursor: str
     on_error: str = "continue"
+    prune: bool = True
 
     def __call__(self, state: DataFrame | None, batch: Batch) -> DataFrame:
-        spark, keys, fn, stop, cursor = batch.df.sparkSession, list(self.keys), self.fn, self.on_error == "raise", self.cursor
+        spark, keys, fn, stop, cursor, prune = batch.df.sparkSession, list(self.keys), self.fn, self.on_error == "raise", self.cursor, self.prune
         fields = T.StructType.fromDDL(self.schema) if hasattr(T.StructType, "fromDDL") else spark.createDataFrame([], self.schema).schema
         names = fields.names
-        state = spark.createDataFrame([], self.schema) if state is None else state.select(*names)
+        state = spark.createDataFrame([], self.schema) if state is None else state
+        state = state.select(*names, *(["error"] if "error" in state.columns else []))
 
         def fold(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            errors = old["error"] if "error" in old else None
+            old = old[names]
+            if prune and len(old) and pd.notna(at := old[CURSOR].max()):
+                new = new[new[cursor] > at]
+            if new.empty:
+                return old.assign(error=errors)
             try:
-                out = old if new.empty else fn(key, old, new.sort_values(cursor, kind="stable"))
-                return out[names].assign(error=None)
+                return fn(key, old, new.sort_values(cursor, kind="stable"))[names].assign(error=None)
             except Exception as e:
                 if stop:
                     raise

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
+import time
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans.shared import drop, shared_root
+
 log = logging.getLogger("tidemark")
 
 
@@ -59,8 +64,7 @@ class ParquetStore:
         kept, gone = (at["versions"] + [version])[-self.versions :], (at["versions"] + [version])[: -self.versions]
         self._replace(name, {"versions": kept, "batch": batch_id})
         for old in gone:
-            fs, path = self._at(f"{self.path}/{name}/{old}")
-            fs.delete(path, True)
+            drop(self.spark, f"{self.path}/{name}/{old}")
 
     def _replace(self, name: str, content: dict[str, Any]) -> None:
         fs, new = self._at(f"{self.path}/{name}/current-{uuid.uuid4().hex}")
@@ -92,9 +96,7 @@ class MemoryStore:
             return
         context = state.sparkSession.sparkContext
         if context.getCheckpointDir() is None:
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-state-"))
+            context.setCheckpointDir(shared_root(state.sparkSession))
         self.states[name], self.batches[name] = state.checkpoint(), batch_id
 
     def __iter__(self):
@@ -135,20 +137,71 @@ class TracedStore:
         self.inner.put(name, state, batch_id)
 
 
+class RetryingStore:
+    """Another store whose passing failures are tried again: `tries` times in all, waiting longer each time."""
+
+    def __init__(self, inner: Store, tries: int = 3, pause: float = 0.5):
+        self.inner, self.tries, self.pause = inner, tries, pause
+
+    def get(self, name: str) -> DataFrame | None:
+        return retried(lambda: self.inner.get(name), self.tries, self.pause)
+
+    def put(self, name: str, state: DataFrame, batch_id: str | None = None) -> None:
+        retried(lambda: self.inner.put(name, state, batch_id), self.tries, self.pause)
+
+
+def _passing(error: Exception) -> bool:
+    """Whether trying again may help: trouble of a file system or a connection, in Python or Java."""
+    from py4j.protocol import Py4JJavaError
+
+    if isinstance(error, Py4JJavaError):
+        name = error.java_exception.getClass().getName()
+        return name.startswith(("java.io.", "java.net.")) and "FileNotFound" not in name
+    return isinstance(error, OSError) and not isinstance(error, FileNotFoundError)
+
+
+def retried(work: Callable[[], Any], tries: int = 5, pause: float = 0.2, passing: Callable[[Exception], bool] = _passing) -> Any:
+    """work(), again after pause, 2 * pause and so on while it raises a passing error; the last one is raised."""
+    for i in range(1, tries + 1):
+        try:
+            return work()
+        except Exception as e:
+            if i == tries or not passing(e):
+                raise
+            log.info("try %d of %d failed: %s", i, tries, e)
+            time.sleep(pause * i)
+
+
 class CursorStore:
-    """Positions by (stream, partition), a table kept in another store."""
+    """Positions by (stream, partition), a table kept in another store. Positions are numbers, text or times."""
 
     def __init__(self, spark: SparkSession, inner: Store, name: str = "cursors"):
-        self.spark, self.inner, self.name = spark, inner, name
+        self.spark, self.inner, self.name, self._lock = spark, inner, name, threading.Lock()
 
     def get(self, stream_id: str, partition_id: str = "") -> Any:
         state = self.inner.get(self.name)
         row = None if state is None else state.where((state.stream_id == stream_id) & (state.partition_id == partition_id)).first()
-        return None if row is None else json.loads(row["position"])
+        made = None if row is None else json.loads(row["position"])
+        return datetime.fromisoformat(made["time"]) if isinstance(made, dict) else made
 
     def put(self, stream_id: str, position: Any, partition_id: str = "") -> None:
-        """Insert or replace one position; positions are numbers or text."""
-        new = self.spark.createDataFrame([(stream_id, partition_id, json.dumps(position))], "stream_id string, partition_id string, position string")
-        old = self.inner.get(self.name)
+        """Insert or replace one position. Threads of one driver take turns; drivers need stores of their own."""
+        text = json.dumps({"time": position.isoformat()} if isinstance(position, datetime) else position)
+        new = self.spark.createDataFrame([(stream_id, partition_id, text)], "stream_id string, partition_id string, position string")
         keys = ["stream_id", "partition_id"]
-        self.inner.put(self.name, new if old is None else old.join(new, keys, "left_anti").unionByName(new).coalesce(1))
+        with self._lock:
+            old = self.inner.get(self.name)
+            self.inner.put(self.name, new if old is None else old.join(new, keys, "left_anti").unionByName(new).coalesce(1))
+
+
+class CallableCursors:
+    """Positions kept by two functions: get(stream id, partition id) and put(stream id, position, partition id)."""
+
+    def __init__(self, get: Callable[[str, str], Any], put: Callable[[str, Any, str], None]):
+        self._get, self._put = get, put
+
+    def get(self, stream_id: str, partition_id: str = "") -> Any:
+        return self._get(stream_id, partition_id)
+
+    def put(self, stream_id: str, position: Any, partition_id: str = "") -> None:
+        self._put(stream_id, position, partition_id)

@@ -1,8 +1,15 @@
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.cursor import Cursor
 from tidemark.operators.fold import Fold
-from tidemark.plans.store import ParquetStore
+from tidemark.operators.partition import by_range
+from tidemark.operators.stream import as_stream
+from tidemark.plans import scheduler
+from tidemark.plans.lease import for_partitions
+from tidemark.plans.store import MemoryStore, ParquetStore
 from tidemark.sources import event_store
 from tidemark.sources.cursor_source import CursorDataSource
 from tidemark.streaming.live import fold_stream, side_effects, windowed
@@ -60,3 +67,57 @@ def test_cursor_source_reads_bounded_batches(spark, tmp_path):
 def test_windows(spark):
     df = spark.sql("select timestamp'2020-01-01 00:00:10' as t, 1 as k union all select timestamp'2020-01-01 00:01:10', 1")
     assert windowed(df, "t", "1 minute", "1 minute", ["k"], n=F.count("*")).count() == 2
+
+
+def test_cursor_source_parts_no_ties_and_reads_no_null(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (2, "d"), (3, "e"), (None, "f")], "c int, t string").repartition(3).write.parquet(str(tmp_path / "t"))
+    spark.dataSource.register(CursorDataSource)
+    rows = spark.readStream.format("cursor").option("path", str(tmp_path / "t")).option("cursor", "c").option("columns", "t string").option("batch", 2).load()
+    got = []
+    query = side_effects(rows, lambda df, i: got.append(sorted(r[0] for r in df.collect())), str(tmp_path / "checkpoint"), every="0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    assert [g for g in got if g] == [["a", "b", "c", "d"], ["e"]]
+
+
+def test_streams_of_one_key_of_commits_and_of_keys(spark):
+    df = spark.createDataFrame([(c, c % 2, i) for c, n in ((1, 3), (2, 4), (3, 5)) for i in range(n)], "c int, key int, i int")
+    stream, at = event_store.commits(df, "c", 7), Cursor()
+    assert [(b.count, b.ends_at) for b in (stream.fetch(at) for _ in range(3))] == [(7, 2), (5, 3), (0, 3)]
+    assert stream.fetch(n=None).count == 12
+    assert sorted(r[0] for r in event_store.distinct_key_stream(df, "c", "key", 7).fetch().df.collect()) == [0, 1]
+    one, at = event_store.one_key_stream(df, "c", 3, "i", 2), Cursor(-1)
+    assert [(b.count, b.ends_at) for b in (one.fetch(at) for _ in range(4))] == [(2, 1), (2, 3), (1, 4), (0, 4)]
+    heads = event_store.key_streams(df, "key", "c", "i").fetch(n=1)
+    assert [tuple(r) for r in heads.df.collect()] == [(0, 2, 3)] and heads.ends_at == 2
+
+
+def test_commands_are_delivered_once_and_clocks_follow(spark):
+    clocks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, at int")
+    commands = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "b", 5), (4, "c", 50), (5, "b", 7)], "id long, name string, due int")
+    at, now = Cursor(), datetime(2020, 1, 1)
+    due = scheduler.clocks_due_stream(lambda: clocks, lambda: commands, "name", lambda: F.col("due") < 10, "name", ("at", "id"), lambda: now)
+    batch = due.get(by_range("a", "c")).fetch(at, 10)
+    assert [r["name"] for r in batch.df.collect()] == ["b", "b"] and at.position == now
+    assert due.get(by_range("", "c")).fetch().count == 1  # one clock by default
+    mine = scheduler.commands_due_stream(lambda: commands, F.col("name") == "a", lambda: F.col("due") < 10, "id", ("due",), "a", lambda: now)
+    assert [r["id"] for r in mine.get(by_range(0, 9)).fetch(n=1).df.collect()] == [1]
+    with pytest.raises(ValueError):
+        scheduler.commands_due_stream(lambda: commands, F.lit(True), lambda: F.lit(True), "id", ("due",), " ")
+
+    def apply(row):
+        if row["id"] == 3:
+            raise ValueError("no")
+        return f"{row['name']}{row['id']}"
+
+    step, store = scheduler.deliver_commands(apply, ("name",), "id", lambda: now), MemoryStore()
+    stream, at = as_stream(commands, "id"), Cursor()
+    store.put("s", step(None, stream.fetch(at, 3)))
+    store.put("s", step(store.get("s"), stream.fetch(Cursor(), None)))
+    got = {r["id"]: (r["name"], r["result"], r["error"], r["applied"]) for r in store.get("s").collect()}
+    assert len(got) == 5 == store.get("s").count() and got[1] == ("a", "a1", None, now) and got[3][1] is None and "no" in got[3][2]
+    told, d = [], for_partitions(["p"])
+    d.on_receive(lambda lease: told.append("work"))
+    d.on_receive(scheduler.keep_clock_updated(told.append, lambda: now))
+    d.distribute(1)
+    assert told == ["work", now]

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 
 class CursorDataSource(DataSource):
-    """spark.readStream.format("cursor"): rows of a Parquet file or folder, at most `batch` after the last position.
+    """spark.readStream.format("cursor"): rows of a Parquet file or folder, the next `batch` after the last position.
 
     Options: path, cursor (a column of integers), columns DDL in schema(), batch (1000), first (position before the first
-    row, -1). The reader runs on the driver and sees one batch at a time; for bulk data read the folder with the file
-    source instead.
+    row, -1). Rows that share a cursor value are never parted, so a batch may pass its size by the ties of its last value;
+    null cursors are not read. The reader runs on the driver, which holds a batch's rows and, to find where it ends, as
+    many cursor values; for bulk data read the folder with the file source instead.
     """
 
     @classmethod
@@ -34,22 +36,27 @@ class _Reader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"position": self.first}
 
-    def _rows(self, low: int, high: int | None, n: int | None):
+    def _end(self, low: int) -> int:
+        """The cursor of the last of the next `batch` rows."""
         import pyarrow.dataset as ds
 
-        field = ds.field(self.cursor)
-        keep = field > low if high is None else (field > low) & (field <= high)
-        table = ds.dataset(self.path).to_table(columns=self.names, filter=keep).sort_by(self.cursor)
-        return table if n is None else table.slice(0, n)
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        table = self._rows(start["position"], None, self.batch)
-        end = table[self.cursor][-1].as_py() if len(table) else start["position"]
-        return zip(*(table[n].to_pylist() for n in self.names)), {"position": end}
+        least = np.empty(0, "i8")
+        for part in ds.dataset(self.path).scanner(columns=[self.cursor], filter=ds.field(self.cursor) > low).to_batches():
+            least = np.concatenate([least, np.asarray(part.column(0), "i8")])
+            if len(least) > self.batch:
+                least = np.partition(least, self.batch - 1)[: self.batch]
+        return int(least.max()) if len(least) else low
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        table = self._rows(start["position"], end["position"], None)
+        import pyarrow.dataset as ds
+
+        at, columns = ds.field(self.cursor), list(dict.fromkeys([*self.names, self.cursor]))
+        table = ds.dataset(self.path).to_table(columns=columns, filter=(at > start["position"]) & (at <= end["position"])).sort_by(self.cursor)
         return zip(*(table[n].to_pylist() for n in self.names))
 
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = {"position": self._end(start["position"])}
+        return self.readBetweenOffsets(start, end), end
+
     def commit(self, end: dict) -> None:
         pass

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cursor import unread
 from tidemark.operators.partition import Partition
-from tidemark.operators.stream import Stream, as_stream
+from tidemark.operators.stream import Stream, as_stream, create
 
-EVENTS, CHANGES, PER_KEY, CLOCKS, COMMANDS = 100, 10, 1000, 1, 5
+EVENTS, CHANGES, PER_KEY, CLOCKS, COMMANDS, STREAMS = 100, 10, 1000, 1, 5, 100_000
 
 
 def events(df: DataFrame, cursor: str = "event_id", keep: Column | None = None, key: str | None = None, partition: Partition | None = None, id: str = "events") -> Stream:
@@ -64,13 +64,38 @@ def whole_commits(df: DataFrame, commit: str, size: int, after: Any = None) -> D
     At most `size` commits can fit, so only the first size + 1 are counted up, whatever the table holds. A first commit
     that is larger comes alone, so that a reader goes on.
     """
-    fresh = df.where(unread(F.col(commit), after))
+    fresh = df.where(unread(F.col(commit), after) & F.col(commit).isNotNull())
     sizes = fresh.groupBy(commit).agg(F.count("*").alias("_n")).orderBy(commit).limit(size + 1)
     order = Window.orderBy(commit)
     fits = sizes.select(commit, F.sum("_n").over(order).alias("_upto"), F.row_number().over(order).alias("_i")).where((F.col("_upto") <= size) | (F.col("_i") == 1))
     return fresh.join(F.broadcast(fits.select(commit)), commit, "left_semi")
 
 
+def one_key_stream(df: DataFrame, key: str, value: Any, revision: str, n: int = PER_KEY) -> Stream:
+    """One key's rows in the order of their revisions, of which the first is 0."""
+    return create(f"{key}={value}", lambda position, size: one_key(df, key, value, revision, position, size or (1 << 62)), lambda rows, position: rows.agg(F.coalesce(F.max(revision), F.lit(position))).first()[0], -1, n)
+
+
+def commits(df: DataFrame, commit: str, n: int = EVENTS, id: str = "commits") -> Stream:
+    """Whole commits, as many in a batch as n rows have room for; the cursor is the last one's number."""
+
+    def query(position: Any, size: int | None) -> DataFrame:
+        return df.where(unread(F.col(commit), position) & F.col(commit).isNotNull()) if size is None else whole_commits(df, commit, size, position)
+
+    return create(id, query, lambda rows, position: rows.agg(F.coalesce(F.max(commit), F.lit(position))).first()[0], None, n)
+
+
+def distinct_key_stream(df: DataFrame, commit: str, key: str, n: int = EVENTS) -> Stream:
+    """The keys of each batch of commits, each once a batch."""
+    return commits(df, commit, n, "keys").map(lambda rows: rows.select(key).distinct(), "distinct")
+
+
+def key_streams(df: DataFrame, key: str, token: str, revision: str, n: int = STREAMS) -> Stream:
+    """Keys in the order of their last token with their heads; into_many() on the key gives the rows of each."""
+    heads = df.groupBy(key).agg(F.max(token).alias(token), F.max(revision).alias(revision))
+    return Stream("key-streams", lambda: heads, token, batch_size=n)
+
+
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     """Each key once."""
     return df.select(key).distinct()

@@ -1,5 +1,6 @@
 """Quality scores, pseudonyms, licences and pieces."""
 
+import hashlib
 import re
 import zlib
 from datetime import date
@@ -15,7 +16,7 @@ from tests.llm.conftest import D
 from tidemark.llm import queries
 from tidemark.llm.licenses import SENTENCES, Rules, scan_licences
 from tidemark.llm.pieces import Lattice, decode_segments, n_best_segments
-from tidemark.llm.pii import feistel, pseudonymise
+from tidemark.llm.pii import PHONE, SOCIAL, feistel, pseudonymise
 from tidemark.llm.quality import STATISTICS, isotonic, keep_good, score_quality, statistics
 from tidemark.llm.queries import tokenizer_path
 
@@ -108,7 +109,7 @@ def test_forms_and_links(spark):
         date.fromisoformat(x)
     assert made[4].startswith("call +1 (") and all(0 <= int(x) <= 255 for x in re.search(r"[\d.]+", made[5])[0].split("."))
     assert made[4].split(" or ")[0][-14:] == made[4].split(" or ")[1]  # one number, with its country and without
-    assert re.fullmatch(r"to u[0-9a-f]{12}@mail\.example\.org!", made[6]) and re.fullmatch("key [0-9a-f]{32}", made[7])
+    assert re.fullmatch(r"to u[0-9a-f]{20}@mail\.example\.org!", made[6]) and re.fullmatch("key [0-9a-f]{32}", made[7])
     assert replaced(spark, *texts) == made
 
 
@@ -169,9 +170,76 @@ def test_pii_of_odd_documents(spark, odd, none):
     assert out[:-10] == long[:-10] and out != long
 
 
-def test_dates_are_permuted_one_to_one(spark):
-    days = spark.sql("select explode(sequence(date'1990-01-01', date'2020-12-31')) d").select(F.date_format("d", "yyyy-MM-dd").alias("text"))
-    assert pseudonymise(days, KEY).distinct().count() == days.count()
+def mac(key, *parts):
+    return hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()
+
+
+def turned(a, b, ma, mb, tag, back=False):
+    """The network anew: rounds that add a keyed hash of one half to the other, or take it away in reverse order."""
+    for i in range(8)[:: -1 if back else 1]:
+        h = int(mac(KEY, tag, i, a if i % 2 else b)[:13], 16) * (-1 if back else 1)
+        a, b = (a, (b + h) % mb) if i % 2 else ((a + h) % ma, b)
+    return a, b
+
+
+def test_dates_are_permuted_one_to_one_and_back(spark):
+    first = date(1900, 1, 1).toordinal()
+    wrapped = turned(*divmod(73_049, 487), 150, 487, "date", back=True)  # what would become the day past 2099
+    days = sorted({*range(0, 73_049, 30), 73_048, wrapped[0] * 487 + wrapped[1]})
+    df = spark.createDataFrame([(date.fromordinal(first + d).isoformat(),) for d in days], "text string").coalesce(4)
+    made = [date.fromisoformat(r.text).toordinal() - first for r in pseudonymise(df, KEY).collect()]
+    assert len(set(made)) == len(days) and 0 <= min(made) and max(made) < 73_049
+    for d, m in zip(days, made):
+        a, b = turned(*divmod(m, 487), 150, 487, "date", back=True)
+        if a * 487 + b == 73_049:
+            a, b = turned(a, b, 150, 487, "date", back=True)
+        assert a * 487 + b == d
+
+
+def test_social_numbers_are_permuted_among_valid_ones_and_back(spark):
+    rng = np.random.default_rng(1)
+    areas = [x for x in range(1, 900) if x != 666]
+    some = [(areas[rng.integers(898)], rng.integers(1, 100), rng.integers(1, 10_000)) for _ in range(1500)] + [(1, 1, 1), (899, 99, 9999), (665, 1, 1), (667, 1, 1)]
+    df = spark.createDataFrame([(f"{a:03d}-{g:02d}-{n:04d}",) for a, g, n in some], "text string").coalesce(4)
+    for (a, g, n), r in zip(some, pseudonymise(df, KEY).collect()):
+        assert re.fullmatch(SOCIAL, r.text)
+        x, y, z = map(int, r.text.split("-"))
+        p, q = turned(areas.index(x) * 99 + y - 1, z - 1, 898 * 99, 9999, "social", back=True)
+        assert (areas[p // 99], p % 99 + 1, q + 1) == (a, g, n)
+
+
+def test_telephone_numbers_keep_country_and_form(spark):
+    rng = np.random.default_rng(2)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    forms = [lambda: f"+44 (20) {digits(3)} {digits(4)}", lambda: f"+351 9{digits(2)} {digits(3)} {digits(3)}", lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"5{digits(2)} 2{digits(2)} {digits(4)}", lambda: f"0{rng.integers(1, 10)}{digits(2)} {digits(3)} {digits(4)}", lambda: f"+4930{digits(8)}"]
+    texts = sorted({f() for f in forms for _ in range(150)})
+    made = [r.text for r in pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(4), KEY).collect()]
+    plain = {re.sub("[^0-9+]", "", t) for t in texts}
+    assert len({re.sub("[^0-9+]", "", t) for t in made}) == len(plain)
+    for t, m in zip(texts, made):
+        assert re.sub(r"\d", "9", m) == re.sub(r"\d", "9", t) and re.fullmatch(PHONE, m) and m != t
+        if t.startswith("+"):
+            country = re.match(r"\+(44|351|1|49)", t)[0]
+            assert m.startswith(country)
+    same = spark.createDataFrame([("+1 555 234 5678, (555) 234-5678 and 555.234.5678; 1-555-234-5678",)], "text string")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in re.findall(r"[\d() .-]{12,}", pseudonymise(same, KEY).first().text)}) == 1
+
+
+def test_cards_go_back(spark):
+    df = spark.createDataFrame([("4111 1111 1111 1111",), ("378282246310005",)], "text string").coalesce(1)
+    for t, r in zip(("411111111111111", "37828224631000"), pseudonymise(df, KEY).collect()):
+        d = re.sub(r"\D", "", r.text)[:-1]
+        h = len(d) // 2
+        a, b = turned(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), f"card:{len(d)}", back=True)
+        assert f"{a:0{h}d}{b:0{len(d) - h}d}" == t
+
+
+def test_very_long_texts_of_one_thing(spark):
+    """Stack depth and time don't follow the number of labels, groups or digits."""
+    texts = {"a@" + "b." * 500_000 + "com": 0, "a@b" * 300_000: 0, "a@" + "b-" * 500_000: 0, "1 " * 50_000: 0, "1" * 1_000_000: 0, "4111111111111111 " * 2_000: 2_000, "10.0.0." * 100_000: 0, "+1 (" * 200_000: 0}
+    df = spark.createDataFrame(list(texts.items()), "text string, n int").repartition(4)
+    for r in pseudonymise(df.withColumn("n_chars", F.length("text")), KEY, count_col="found").collect():
+        assert r.found == r.n and len(r.text) == r.n_chars
 
 
 # licences

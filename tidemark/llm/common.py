@@ -1,57 +1,17 @@
-"""What the operators of this subpackage share: tables in the cluster's shared folder and small numeric helpers."""
+"""What the operators of this subpackage share: tables in the shared folder, filters of ids and small numeric helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Folders written by kept(), with the session that wrote them.
-_KEPT: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; a temporary one only where none is named."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    made = tempfile.mkdtemp(prefix="tidemark-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def kept(df: DataFrame, compression: str = "zstd", purge: bool = True) -> DataFrame:
-    """The rows of df from a table in the shared folder: computed once, and safe when executors are lost.
-
-    release() or the end of the driver removes the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    if purge:
-        _KEPT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Remove the tables that kept() wrote in this session; frames that read them are void then."""
-    for pair in [p for p in _KEPT if p[0] is spark]:
-        _KEPT.remove(pair)
-        where = spark._jvm.org.apache.hadoop.fs.Path(pair[1])
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _release_all() -> None:
-    for spark in {id(s): s for s, _ in _KEPT}.values():
-        if spark.sparkContext._jsc is not None:
-            release(spark)
+from tidemark.plans.shared import kept, release, scratch, shared_folder, shared_root
 
+__all__ = ["id_filter", "kept", "mix", "release", "scratch", "shared_folder", "shared_root", "without"]
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the finalizer of splitmix64)."""

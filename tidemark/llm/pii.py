@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Labels and their number are bounded as domain names are; Java's matcher takes a stack frame for each label.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 SOCIAL = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
@@ -28,26 +31,38 @@ ANY = "|".join(KINDS.values())
 #: Country codes of one and two digits; others have three.
 SHORT_CODES = "1|7", "20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ROUNDS = 8
-#: Days from FIRST_DAY on that dates are permuted in: 150 * 487.
+#: Days from FIRST_DAY on that dates are permuted in, 150 * 487; the last of them is past 2099.
 FIRST_DAY, DAYS = "1900-01-01", (150, 487)
+LAST_DAY = DAYS[0] * DAYS[1] - 1
+_CUT = "_tidemark_cut"
+#: Groups of digits of which one pass over a run holds the text.
+CHUNK = 256
 
 
 def _mac(key: str, *parts) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)), 256)
 
 
-def feistel(a: Column, b: Column, ma: Column, mb: Column, tag: Column, key: str) -> Column:
+def feistel(a: Column, b: Column, ma: Column, mb: Column, tag: Column, key: str, skip: Column | None = None) -> Column:
     """struct(a, b): a keyed permutation of pairs with 0 <= a < ma and 0 <= b < mb, another one for each tag.
 
-    Rounds add a keyed hash of one half to the other in turn, which subtraction in reverse order undoes.
+    Rounds add a keyed hash of one half to the other in turn, which subtraction in reverse order undoes. The pair numbered
+    `skip` (a * mb + b) is left out of the permutation if given and not null: what would become it goes through all rounds
+    once more.
     """
+    again = F.lit(None).cast("long") if skip is None else skip.cast("long")
 
     def turn(s: Column, i: Column) -> Column:
-        h = lambda x: F.conv(F.substring(_mac(key, tag, i, x), 1, 13), 16, 10).cast("long")
-        even = F.struct(((s["a"] + h(s["b"])) % ma).alias("a"), s["b"].alias("b"))
-        return F.when(i % 2 == 0, even).otherwise(F.struct(s["a"].alias("a"), ((s["b"] + h(s["a"])) % mb).alias("b")))
+        h = lambda x: F.conv(F.substring(_mac(key, tag, i % ROUNDS, x), 1, 13), 16, 10).cast("long")
+        even = F.struct(((s["a"] + h(s["b"])) % ma).alias("a"), s["b"].alias("b"), s["on"].alias("on"))
+        made = F.when(i % 2 == 0, even).otherwise(F.struct(s["a"].alias("a"), ((s["b"] + h(s["a"])) % mb).alias("b"), s["on"].alias("on")))
+        if skip is None:
+            return made
+        on = F.when(i == ROUNDS, s["a"] * mb + s["b"] == again).otherwise(s["on"])
+        return F.when(on, made).otherwise(F.struct(s["a"].alias("a"), s["b"].alias("b"), F.lit(False).alias("on")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
+    last = F.lit(ROUNDS - 1) if skip is None else F.when(again.isNull(), ROUNDS - 1).otherwise(2 * ROUNDS - 1)
+    return F.aggregate(F.sequence(F.lit(0), last), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(True).alias("on")), turn, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -56,31 +71,53 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _valid_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0)
+
+
+def _bare(m: Column) -> Column:
+    return F.regexp_replace(m, "[ -]", "")
+
+
 def _cards_marked(run: Column) -> Column:
     """A run of digit groups with MARKS around the cards in it: whole groups of 13 to 19 digits by Luhn's check.
 
-    Numbers of issuers come first, then the whole run and single groups, each from left to right and the longest first;
-    what overlaps one of these is left.
+    From left to right, numbers of issuers count first, the longest first, and then single groups; where no number of an
+    issuer is found the whole run may be one card. Groups are passed in chunks, so that the work grows with the run.
     """
-    digit = lambda i: F.substring(run, i, F.lit(1)).rlike("[0-9]")
-    starts = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+    return _let(F.regexp_extract_all(run, F.lit("([0-9]+[ -]?)"), F.lit(1)), lambda parts: _groups_marked(run, parts))
+
 
-    def tried(i: Column) -> Column:
-        rest = F.substring(run, i, F.lit(38))  # 19 digits, 18 marks between them and what follows
-        forms = F.array(*(F.regexp_extract(rest, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(13, 20)))
-        return F.transform(F.filter(forms, lambda m: m != ""), lambda m: F.struct(_rank(m).alias("rank"), i.alias("at"), (-F.length(m)).alias("less"), m.alias("m")))
+def _groups_marked(run: Column, parts: Column) -> Column:
+    def issued(i: Column) -> Column:
+        rest = F.array_join(F.slice(parts, i, F.lit(19)), "")
+        forms = _let(rest, lambda r: F.array(*(F.regexp_extract(r, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1))))
+        return F.try_element_at(F.filter(forms, lambda m: (m != "") & _bare(m).rlike(ISSUED) & _valid_card(_bare(m))), F.lit(1))
 
-    def _rank(m: Column) -> Column:
-        d = F.regexp_replace(m, "[ -]", "")
-        return F.when(_luhn_sum(d, 1) % 10 != 0, 9).when(d.rlike(ISSUED), 0).when((m == run) | (d == m), 1).otherwise(9)
+    def told(s: Column, m: Column, groups: Column, i: Column, known: Column) -> Column:
+        after = F.regexp_extract(F.element_at(parts, i + groups - 1), "[ -]$", 0)
+        return F.struct(F.concat(s["out"], F.lit(MARKS[0]), m, F.lit(MARKS[1]), after).alias("out"), (i + groups).alias("next"), known.alias("known"))
 
-    found = F.array_sort(F.filter(F.flatten(F.transform(starts, tried)), lambda c: c["rank"] < 9))
-    none = F.filter(found, lambda c: F.lit(False))
-    apart = lambda c, t: (c["at"] >= t["at"] - t["less"]) | (t["at"] >= c["at"] - c["less"])
-    taken = F.aggregate(found, none, lambda s, c: F.when(F.forall(s, lambda t: apart(c, t)), F.concat(s, F.array(c))).otherwise(s))
-    in_order = F.array_sort(F.transform(taken, lambda c: F.struct(c["at"].alias("at"), c["m"].alias("m"))))
-    step = lambda s, c: F.struct(F.concat(s["out"], F.substring(run, s["next"], c["at"] - s["next"]), F.lit(MARKS[0]), c["m"], F.lit(MARKS[1])).alias("out"), (c["at"] + F.length(c["m"])).alias("next"))
-    return F.aggregate(in_order, F.struct(F.lit("").alias("out"), F.lit(1).alias("next")), step, lambda s: F.concat(s["out"], F.substring(run, s["next"], F.length(run))))
+    def step(s: Column, i: Column) -> Column:
+        own = _bare(F.element_at(parts, i))
+        as_it_is = F.struct(F.concat(s["out"], F.element_at(parts, i)).alias("out"), (i + 1).alias("next"), s["known"].alias("known"))
+        chosen = _let(issued(i), lambda m: F.when(m.isNotNull(), told(s, m, F.size(F.split(m, "[ -]")), i, F.lit(True))).when(_valid_card(own), told(s, own, F.lit(1), i, s["known"])).otherwise(as_it_is))
+        return F.when(i < s["next"], s).otherwise(chosen)
+
+    def chunk(s: Column, first: Column) -> Column:
+        places = F.sequence(first, F.least(first + CHUNK - 1, F.size(parts)))
+        begun = F.struct(F.lit("").alias("out"), s["next"].alias("next"), s["known"].alias("known"))
+        return _let(F.aggregate(places, begun, step), lambda c: F.struct(F.concat(s["out"], c["out"]).alias("out"), c["next"].alias("next"), c["known"].alias("known")))
+
+    begun = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"), F.lit(False).alias("known"))
+    made = F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(CHUNK)), begun, chunk)
+    whole = F.concat(F.lit(MARKS[0]), run, F.lit(MARKS[1]))
+    return _let(made, lambda c: F.when(~c["known"] & (F.length(run) <= 37) & _valid_card(_bare(run)), whole).otherwise(c["out"]))
 
 
 def _marked(text: Column) -> Column:
@@ -107,61 +144,108 @@ def _pseudonym(m: Column, key: str) -> Column:
     return F.element_at(bound, 1)
 
 
-def _of_kind(s: Column, key: str) -> Column:
-    m, kind, d, n = s["m"], s["kind"], s["d"], s["n"]
-    # the digits that change: cards keep no check digit, telephone numbers their country or the 0 before their area
-    code = F.when(d.rlike(f"^(?:{SHORT_CODES[0]})"), 1).when(d.rlike(f"^(?:{SHORT_CODES[1]})"), 2).otherwise(3)
-    local = F.least(F.lit(10), n - F.when(m.startswith("+"), code).when(d.startswith("0"), 1).otherwise(0))
-    body = F.when(kind == "card", F.substring(d, F.lit(1), n - 1)).when(kind == "phone", F.substring(d, n - local + 1, local)).otherwise(d)
+def _number(x: Column, at: Column | int, n: Column | int) -> Column:
+    return F.substring(x, at if isinstance(at, Column) else F.lit(at), n if isinstance(n, Column) else F.lit(n)).cast("long")
+
+
+def _padded(x: Column, n: Column | int) -> Column:
+    return F.lpad(x.cast("string"), n if isinstance(n, Column) else F.lit(n), F.lit("0"))
+
+
+def _power(e: Column) -> Column:
+    return F.pow(F.lit(10.0), e).cast("long")
+
+
+def _forms(kind: Column, body: Column, m: Column, day: Column) -> list[tuple]:
+    """Forms: a condition, a name, a value's two halves, how many values either half has, and what halves are written as.
+
+    Where a condition is the first that holds, the form's numbers are permuted among themselves.
+
+    Forms hold just the numbers that are valid in them, so every pseudonym is valid: social security numbers by area, group
+    and serial number; telephone numbers of ten digits by how area and exchange begin, others by whether they begin with 0.
+    """
     size = F.length(body)
     half = (size / 2).cast("int")
     octets = F.split(m, "\\.")
     octet = lambda i: F.try_element_at(octets, F.lit(i)).cast("long")
-    day = F.datediff(s["day"], F.lit(FIRST_DAY).cast("date")).cast("long")
-    is_ip, is_date = kind == "ip", kind == "date"
-    a = F.when(is_ip, octet(1) * 256 + octet(2)).when(is_date, F.floor(day / DAYS[1])).otherwise(F.substring(body, F.lit(1), half).cast("long"))
-    b = F.when(is_ip, octet(3) * 256 + octet(4)).when(is_date, day % DAYS[1]).otherwise(F.substring(body, half + 1, size - half).cast("long"))
-    power = lambda e: F.pow(F.lit(10.0), e).cast("long")
-    ma = F.when(is_ip, 65536).when(is_date, DAYS[0]).otherwise(power(half))
-    mb = F.when(is_ip, 65536).when(is_date, DAYS[1]).otherwise(power(size - half))
-    tag = F.concat_ws(":", kind, F.when(~is_ip & ~is_date, size))
-    moved = feistel(a, b, ma, mb, tag, key)
+    days = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long")
+    area, exchange, line = _number(body, 1, 3), _number(body, 4, 3), _number(body, 7, 4)
+    group, serial = _number(body, 4, 2), _number(body, 6, 4)
+    by_area = area - F.when(area > 666, 2).otherwise(1)  # 1 to 665 and 667 to 899
+    ten = (kind == "phone") & (size == 10)
+    pair = lambda c: F.concat(_padded(F.floor(c / 1000), 3), _padded(c % 1000, 3))
+    third = lambda c: F.when(c < 100_000, c + 100_000).otherwise((F.floor((c - 100_000) / 200) + 200) * 1000 + (c - 100_000) % 200)
+    rest, tail = _number(body, half + 1, size - half), size - half
+    head = _number(body, 1, half)
+    least = _power(half - 1)
+    return [
+        (kind == "ip", "ip", octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), 65536, 65536, lambda p: F.concat_ws(".", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)),
+        (kind == "date", "date", F.floor(days / DAYS[1]), days % DAYS[1], *DAYS, lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int")), "yyyy-MM-dd")),
+        (kind == "social", "social", by_area * 99 + group - 1, serial - 1, 898 * 99, 9999, lambda p: _let(F.floor(p["a"] / 99), lambda x: F.concat(_padded(x + F.when(x < 665, 1).otherwise(2), 3), _padded(p["a"] % 99 + 1, 2), _padded(p["b"] + 1, 4)))),
+        (ten & (area >= 200) & (exchange >= 200), "phone:ab", (area - 200) * 800 + exchange - 200, line, 640_000, 10_000, lambda p: F.concat(_padded(F.floor(p["a"] / 800) + 200, 3), _padded(p["a"] % 800 + 200, 3), _padded(p["b"], 4))),
+        (ten & (area < 100), "phone:0", area * 1000 + exchange, line, 100_000, 10_000, lambda p: F.concat(pair(p["a"]), _padded(p["b"], 4))),
+        (ten, "phone:1", F.when(area < 200, (area - 100) * 1000 + exchange).otherwise(100_000 + (area - 200) * 200 + exchange), line, 260_000, 10_000, lambda p: F.concat(pair(third(p["a"])), _padded(p["b"], 4))),
+        ((kind == "phone") & body.startswith("0"), "phone:zero", head, rest, least, _power(tail), lambda p: F.concat(_padded(p["a"], half), _padded(p["b"], tail))),
+        (kind == "phone", "phone:other", head - least, rest, 9 * least, _power(tail), lambda p: F.concat(_padded(p["a"] + least, half), _padded(p["b"], tail))),
+        (kind == "card", "card", head, rest, _power(half), _power(tail), lambda p: F.concat(_padded(p["a"], half), _padded(p["b"], tail))),
+    ]
+
+
+def _of_kind(s: Column, key: str) -> Column:
+    m, kind, d, n = s["m"], s["kind"], s["d"], s["n"]
+    # the digits that change: cards keep no check digit, telephone numbers their country or the 0 before their area
+    grouped = F.regexp_extract(m, "^\\+(\\d{1,3})[ .(-]", 1)
+    by_table = F.when(d.rlike(f"^(?:{SHORT_CODES[0]})"), 1).when(d.rlike(f"^(?:{SHORT_CODES[1]})"), 2).otherwise(3)
+    code = F.when(grouped != "", F.length(grouped)).otherwise(by_table)
+    local = n - F.when(m.startswith("+"), code).when(d.startswith("0"), 1).otherwise(F.greatest(n - 10, F.lit(0)))
+    body = F.when(kind == "card", F.substring(d, F.lit(1), n - 1)).when(kind == "phone", F.substring(d, n - local + 1, local)).otherwise(d)
+    forms = _forms(kind, body, m, s["day"])
+    long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    picked, made = F.lit(None), F.lit(None).cast("string")
+    for i, (holds, form, a, b, ma, mb, _) in reversed(list(enumerate(forms))):
+        picked = F.when(holds, F.struct(F.lit(i).alias("i"), F.lit(form).alias("form"), long(a).alias("a"), long(b).alias("b"), long(ma).alias("ma"), long(mb).alias("mb"))).otherwise(picked)
 
     def told(p: Column) -> Column:
-        made = F.concat(F.lpad(p["a"].cast("string"), half, F.lit("0")), F.lpad(p["b"].cast("string"), size - half, F.lit("0")))
+        tag = F.concat_ws(":", p["form"], F.when(kind.isin("card", "phone"), F.length(body)))
+        skip = F.when(p["form"] == "date", F.lit(LAST_DAY))
+        return _let(feistel(p["a"], p["b"], p["ma"], p["mb"], tag, key, skip), lambda q: functools.reduce(lambda rest, f: F.when(p["i"] == f[0], f[1][6](q)).otherwise(rest), reversed(list(enumerate(forms))), made))
+
+    chosen = _let(picked, told)
+
+    def written(made: Column) -> Column:
         check = ((10 - _luhn_sum(made, 0) % 10) % 10).cast("string")
-        ip = F.concat_ws(".", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)
-        date = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int")), "yyyy-MM-dd")
-        country = F.substring(d, F.lit(1), n - size)
-        return F.when(is_ip, ip).when(is_date, date).when(kind == "card", _refilled(F.regexp_replace(m, f"[{MARKS[0]}{MARKS[1]}]", ""), F.concat(made, check))).when(kind == "phone", _refilled(m, F.concat(country, made))).otherwise(_refilled(m, made))
+        card = _refilled(F.regexp_replace(m, f"[{MARKS[0]}{MARKS[1]}]", ""), F.concat(made, check))
+        phone = _refilled(m, F.concat(F.substring(d, F.lit(1), n - F.length(body)), made))
+        return F.when(kind.isin("ip", "date"), made).when(kind == "card", card).when(kind == "phone", phone).otherwise(_refilled(m, made))
 
-    number = F.element_at(F.transform(F.array(moved), told), 1)
     at = F.locate("@", m)
-    email = F.concat(F.lit("u"), F.substring(_mac(key, "email", F.lower(m)), 1, 12), m.substr(at, F.length(m)))
+    email = F.concat(F.lit("u"), F.substring(_mac(key, "email", F.lower(m)), 1, 20), m.substr(at, F.length(m)))
     mac = F.concat(_mac(key, "secret", F.lower(m)), _mac(key, "secret2", F.lower(m)))
     secret = F.substring(F.when(m == F.upper(m), F.upper(mac)).otherwise(mac), F.lit(1), F.length(m))
-    valid = F.when(kind == "card", _luhn_sum(d, 1) % 10 == 0).when(is_date, s["day"].isNotNull()).otherwise(kind.isNotNull())
-    return F.when(~F.coalesce(valid, F.lit(False)), m).when(kind == "email", email).when(kind == "secret", secret).otherwise(number)
+    valid = F.when(kind == "card", _luhn_sum(d, 1) % 10 == 0).when(kind == "date", s["day"].isNotNull()).otherwise(kind.isNotNull())
+    return F.when(~F.coalesce(valid, F.lit(False)), m).when(kind == "email", email).when(kind == "secret", secret).otherwise(_let(chosen, written))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with personal data in text_col replaced by pseudonyms of the same form; all other columns are kept.
 
     Numbers and dates count if they are valid: cards (Luhn's check digit, computed anew; also beside other numbers),
-    telephone numbers (the country stays; ten bare digits are no telephone number), social security numbers, IPv4 addresses and ISO dates. Within its format each is permuted by a Feistel network
-    keyed with `key`, so equal values get equal pseudonyms in all documents, whatever their separators, and different
-    values different ones. Names before an e-mail's domain and long hexadecimal secrets become keyed digests. count_col,
-    if given, gets the number of matches that changed. Null and empty texts stay; invalid numbers stay.
+    telephone numbers (the country stays; ten bare digits are no telephone number), social security numbers, IPv4 addresses
+    and ISO dates. Within its format each is permuted by a Feistel network keyed with `key` over just the valid values, so
+    equal values get equal pseudonyms in all documents, whatever their separators, different values different ones, and
+    pseudonyms are valid again (a card's issuer is not kept). Names before an e-mail's domain and long hexadecimal secrets
+    become keyed digests of 80 bits and more, which differ but for chance. count_col, if given, gets the number of matches
+    that changed. Null and empty texts stay; invalid numbers stay; all other rows and columns are kept as they are,
+    repeated ones too. The work grows with a text's length, and no pattern's depth does.
     """
     docs = docs.withColumn(text_col, _marked(F.col(text_col)))
     text = F.col(text_col)
-    some = text.rlike("[0-9@]")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    names = F.transform(found, lambda m: _pseudonym(m, key))
-    between = F.split(text, ANY, -1)
-    new = F.array_join(F.transform(F.arrays_zip(between.alias("t"), names.alias("n")), lambda z: F.concat(z["t"], F.coalesce(z["n"], F.lit("")))), "")
-    out = docs.withColumn(text_col, F.when(some, new).otherwise(text))
-    if count_col is None:
-        return out
-    changed = F.size(F.filter(F.zip_with(found, names, lambda m, n: m != n), lambda x: x))
-    return docs.withColumn(count_col, F.when(some, changed).otherwise(0)).withColumn(text_col, F.when(some, new).otherwise(text))
+    made = F.struct(F.split(text, ANY, -1).alias("t"), found.alias("m"), F.transform(found, lambda m: _pseudonym(m, key)).alias("n"))
+    cut = docs.withColumn(_CUT, F.when(text.rlike("[0-9@]"), made))  # a projection of its own, so that it is made once
+    new = F.array_join(F.transform(F.arrays_zip(F.col(_CUT)["t"].alias("t"), F.col(_CUT)["n"].alias("n")), lambda z: F.concat(z["t"], F.coalesce(z["n"], F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(F.col(_CUT)["m"], F.col(_CUT)["n"], lambda m, n: m != n), lambda x: x))
+    out = {text_col: F.when(F.col(_CUT).isNull(), text).otherwise(new)}
+    if count_col is not None:
+        out[count_col] = F.when(F.col(_CUT).isNull(), 0).otherwise(changed)
+    return cut.withColumns(out).drop(_CUT)

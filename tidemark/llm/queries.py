@@ -49,8 +49,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-#: A deployment keeps its own key secret.
-PSEUDONYM_KEY = "change-this-key"
+#: The setting that holds a deployment's secret key, and what stands in for it in tests and checks.
+KEY_SETTING, PSEUDONYM_KEY = "spark.tidemark.pseudonymKey", "change-this-key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, PSEUDONYM_KEY)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pii import pseudonymise
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
+    return pseudonymise(docs, pseudonym_key(spark), count_col="n_replaced")
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

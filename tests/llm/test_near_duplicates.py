@@ -176,7 +176,7 @@ def test_e8():
 
 def test_no_link_at_the_threshold_is_missed():
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(2000, 64))
+    x = rng.normal(size=(20_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     d = rng.normal(size=x.shape)
     d -= x * (x * d).sum(1, keepdims=True)
@@ -184,9 +184,17 @@ def test_no_link_at_the_threshold_is_missed():
     salt = np.zeros(len(x), "u8")
     from tidemark.llm.vector_dedup import PROBES, TABLES
 
-    own, _ = cells(x, salt, TABLES, PROBES)
-    _, asked = cells(y, salt, TABLES, PROBES)
-    assert all(set(a) & set(b) for a, b in zip(own.tolist(), asked.tolist()))
+    (own, probed), (theirs, asked) = cells(x, salt, TABLES, PROBES), cells(y, salt, TABLES, PROBES)
+    assert asked.shape == (len(x), TABLES * (PROBES - 1))
+    assert all(set(a) & {*b, *d} or set(b) & set(c) for a, b, c, d in zip(own.tolist(), theirs.tolist(), probed.tolist(), asked.tolist()))
+
+
+def test_ids_with_several_vectors_are_one_node(spark):
+    x, y = [1.0, 0.2, 0.3, 0.4], [-0.5, 1.0, 0.1, 0.0]
+    rows = [(1, x, 0), (1, None, 0), (1, [1.0, 0.2], 0), (2, x, 0), (2, y, 0), (3, y, 0), (3, y, 1), (4, [2 * v for v in y], 0), (5, x, 1), (5, x, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(tuple(r) for r in near_vectors(frame).collect())
+    assert got == sorted([(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 2, 1, False), (3, 2, 1, False), (3, 0, 1, False), (4, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True)])
 
 
 # neighbours

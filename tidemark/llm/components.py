@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept
+from tidemark.llm.common import kept, scratch
 
 
 class UnionFind:
@@ -57,14 +57,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     links = links.select(F.col(a).cast("long"), F.col(b).cast("long")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = kept(links.mapInArrow(_forest, "node long, root long"))
-    while True:
-        lowest = kept(edges.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-        forked = lowest.where("low <> high").select("node", "low")
-        extra = edges.join(forked, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
-        up = lowest.select(F.col("node").alias("low"), F.col("low").alias("next"))
-        jumped = lowest.select("node", "low").join(up, "low", "left").select("node", F.coalesce("next", "low").alias("root"), F.col("next").isNotNull().alias("moved"))
-        edges = kept(jumped.unionByName(extra.withColumn("moved", F.lit(True))))
-        if not edges.where("moved").limit(1).count():
-            return edges.select("node", F.col("root").alias("component"))
-        edges = edges.select("node", "root")
+    with scratch() as stay:
+        edges = kept(links.mapInArrow(_forest, "node long, root long"))
+        while True:
+            lowest = kept(edges.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+            forked = lowest.where("low <> high").select("node", "low")
+            extra = edges.join(forked, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")).distinct()
+            up = lowest.select(F.col("node").alias("low"), F.col("low").alias("next"))
+            jumped = lowest.select("node", "low").join(up, "low", "left").select("node", F.coalesce("next", "low").alias("component"), F.col("next").isNotNull().alias("moved"))
+            made = kept(jumped.unionByName(extra.select("node", F.col("root").alias("component"), F.lit(True).alias("moved"))))
+            if not made.where("moved").limit(1).count():
+                made = kept(made.select("node", "component"))
+                stay.append(made)
+                return made
+            edges = made.select("node", F.col("component").alias("root"))

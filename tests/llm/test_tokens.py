@@ -1,5 +1,6 @@
 """Packing, token counts and the token store against the libraries on whole texts."""
 
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -35,6 +36,29 @@ def test_memos_give_what_the_library_gives(texts):
     assert CountMemo.of(WORDS).count(texts).tolist() == [len(x) for x in ids_of(WORDS, texts)]
 
 
+def test_letters_of_all_kinds_are_cut_as_the_library_cuts_them():
+    """A character of each small class of letters, marks and blanks beside marks, in both cases of its neighbours."""
+    letters = [chr(c) for c in range(0x80, 0x2FFF) if unicodedata.category(chr(c))[0] in "LMZ"] + [chr(c) for c in (*range(0xF900, 0xFB50), *range(0x10400, 0x10450), 0x1F600, 0x1E900, 0x16F40)]
+    rng = np.random.default_rng(0)
+    texts = [t for c in letters + ["\u0130"] * 50 for t in (f"{c}.", f"a{c}!!", f"'{c}%x", f"{c}\u0307, {c}")]
+    texts += ["".join(rng.choice([*letters, ".", ",", "!", " ", "a", "Z", "İ"], 12)) for _ in range(4000)]
+    assert CountMemo.of(WORDS).count(texts).tolist() == [len(x) for x in ids_of(WORDS, texts)]
+    ids, starts = IdMemo.of(BYTES).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == ids_of(BYTES, texts)
+
+
+def test_texts_of_one_normal_form_are_encoded_once_and_others_apart(spark, tmp_path):
+    texts = ["One two", "one  TWO", "one\ntwo", "one two ", "<|endoftext|>", "<|ENDOFTEXT|>", "J\u030c", "j\u030c", "ΑΣ", "ας", "One two"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, "one two"), (None, "one two"), (None, "alone"), (20, "here only")]
+    made = count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, str(tmp_path / "c"))
+    want = Counter((i, len(t.encode()), len(x)) for (i, t), x in zip(rows, ids_of(WORDS, [t for _, t in rows])))
+    assert Counter(map(tuple, made.collect())) == want
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    assert stored.count() == stored.select("digest").distinct().count() == 10
+    made = count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, str(tmp_path / "c"))
+    assert Counter(map(tuple, made.collect())) == want and spark.read.parquet(str(tmp_path / "c")).count() == 10
+
+
 def test_counts_of_odd_texts(odd):
     rows = odd.collect()
     made = count_tokens(odd, WORDS).collect()

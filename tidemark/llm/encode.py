@@ -8,6 +8,7 @@ the library on whole texts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -28,8 +29,9 @@ JOINED = 4_000
 #: Texts are treated in batches of about so many bytes.
 BATCH_BYTES = 4 << 20
 SPACE, WORD_END = "\u0120", "</w>"
-#: Where letters end and marks begin, either vocabulary's pattern ends a pre-token.
-_EDGE = r"(\pL)([.,!?;:|&%$#*])"
+#: Where letters end and marks begin, either vocabulary's pattern ends a pre-token. These letters stay single letters when
+#: normalised and lower-cased, whatever version of Unicode a library knows; others (such as U+0130) may not.
+_EDGE = "([A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-ωА-я])([.,!?;:|&%$#*])"
 _LINE = r"([^\s\pZ])\n([^\s\pZ])"
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: In texts with these a cut could fall inside a special token, or at what only some libraries call white space.
@@ -196,6 +198,15 @@ class CountMemo(_Memo):
         return out
 
 
+def folds_text(path: str) -> bool:
+    """Whether a tokenizer's normaliser makes blank runs one space and letters lower-case, so that such texts count alike."""
+    with open(path) as f:
+        made = json.load(f).get("normalizer") or {}
+    steps = made.get("normalizers", [made])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    return blanks in steps and {"type": "Lowercase"} in steps
+
+
 def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     """What counts the ids of each text: by word ends if the vocabulary has them, else by byte-level pre-tokens."""
     if (memo := CountMemo.of(path)).closes.any():

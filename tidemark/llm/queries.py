@@ -42,10 +42,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, from an empty cache."""
+    """Token counts of all documents by way of a cache in the shared folder, which begins empty so that all is measured."""
+    from tidemark.llm.common import shared_folder
     from tidemark.llm.token_counts import count_tokens
 
-    made = count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    made = count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), shared_folder(spark, "token-cache"))
     return made.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import D
-from tidemark.llm import queries
+from tidemark.llm import minhash, queries
 from tidemark.llm.ann import build_index, fit_codebook, pack_codes, search
 from tidemark.llm.components import UnionFind, components
 from tidemark.llm.minhash import BANDS, ROWS, band_keys, near_duplicates, super_minhash
@@ -80,6 +80,22 @@ def test_mixed_buckets_are_compared_in_blocks(spark):
     assert told(made) == by_brute_force(rows, 5)
 
 
+def test_pages_of_one_template_are_compared_in_blocks_of_bounded_members(spark, monkeypatch):
+    """Pages that share a passage, most below the threshold, fill common buckets; some are linked by their ends."""
+    monkeypatch.setattr(minhash, "MEMBERS", 50)
+    rows = [(i, f"click here to read more about our offers of this week in item{i if i % 9 else i - i % 27}" + " now again" * (i % 3 == 0)) for i in range(700)]
+    made = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4)
+    assert told(made) == by_brute_force(rows, 4)
+
+
+def test_ids_with_several_texts_link_through_each(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words[:40]), " ".join(words[20:])
+    rows = [(5, a), (5, b), (1, a + " x"), (9, b + " y"), (9, b + " y"), (3, "another text of its own here"), (None, a)]
+    made = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [(r[0], r[2]) for r in made] == [(1, 1), (3, 3), (5, 1), (5, 1), (9, 1), (9, 1), (None, None)]
+
+
 def test_odd_documents(odd):
     made = near_duplicates(odd).collect()
     assert len(made) == odd.count()

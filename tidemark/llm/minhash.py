@@ -11,14 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_filter, kept, mix
+from tidemark.llm.common import id_filter, kept, mix, scratch
 from tidemark.llm.components import components
 from tidemark.llm.encode import batches
 
 #: Signature slots, in BANDS bands of ROWS. Of pairs at a similarity of 0.8, 3 in a million share no band.
 BANDS, ROWS = 24, 4
-#: Elements of the sets in one block, about.
-BLOCK = 1 << 16
+#: Elements of the sets in one block, and its members, about: a cell's counts of common elements take 50 MB.
+BLOCK, MEMBERS = 1 << 16, 2048
 _GOLDEN = 0x9E3779B97F4A7C15
 _FACTORS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "u8")
 
@@ -134,11 +134,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Members of the buckets that hold several components: `minor` outside the largest one; None if there are none."""
+    """Members of the buckets that hold several components: `minor` outside the largest one; None if there are none.
+
+    Of buckets with the very same members, as bands that one common passage fills have, one stands for all.
+    """
     placed = members.join(found.withColumnRenamed("node", "member"), "member", "left").select("key", "member", "n_shingles", F.coalesce("component", "member").alias("component"))
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
-    buckets = counts.groupBy("key").agg(F.sum("n").alias("total"), F.sum("size").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    buckets = kept(buckets.select("key", "total", F.ceil(F.col("size") / BLOCK).alias("blocks"), F.col("top.component").alias("largest")))
+    marks = [F.sum(F.xxhash64("member", F.lit(i)).bitwiseAND((1 << 31) - 1)).alias(f"mark{i}") for i in (1, 2, 3)]
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), *marks)
+    marks = [F.sum(f"mark{i}").alias(f"mark{i}") for i in (1, 2, 3)]
+    buckets = counts.groupBy("key").agg(F.sum("n").alias("total"), F.sum("size").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds"), *marks).where("kinds > 1")
+    buckets = buckets.groupBy("mark1", "mark2", "mark3", "total").agg(F.min(F.struct("key", "size", "top")).alias("b"))
+    blocks = F.greatest(F.ceil(F.col("b.size") / BLOCK), F.ceil(F.col("total") / MEMBERS))
+    buckets = kept(buckets.select("b.key", "total", blocks.alias("blocks"), F.col("b.top.component").alias("largest")))
     if not buckets.limit(1).count():
         return placed, None
     placed = placed.join(buckets, "key").withColumn("minor", F.col("component") != F.col("largest"))
@@ -154,7 +161,8 @@ def _compared(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asking = placed.where("minor").groupBy("key").agg(F.collect_set("block").alias("asking"))
     cells = placed.where("minor").select("key", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "member", "component", F.lit(True).alias("asks"))
     others = placed.join(kept(asking), "key").select("key", F.explode("asking").alias("i"), F.col("block").alias("j"), "member", "component", F.lit(False).alias("asks"))
-    full = cells.unionByName(others).join(sets.dropDuplicates(["member"]), "member").select("key", "i", "j", "member", "component", "asks", "elements")
+    each = sets.withColumn("_set", F.xxhash64("elements")).dropDuplicates(["member", "_set"]).drop("_set")  # an id's texts may differ
+    full = cells.unionByName(others).join(each, "member").select("key", "i", "j", "member", "component", "asks", "elements")
 
     def compare(cell: pa.Table) -> pa.Table:
         asks = np.asarray(cell.column("asks"))
@@ -196,10 +204,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members of other components, in blocks. So no bucket is capped, no table of a group's pairs is made, and every pair
     that shares a band is in one component or was compared.
 
-    A null, empty or blank text has no shingles and is linked with nothing. Rows with a null id are returned with a null
+    An empty table gives no rows. A null, empty or blank text has no shingles and is linked with nothing. Rows with a null id are returned with a null
     component_id and kept. Rows that share an id are one node; each is returned. Other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch() as stay:
+        named, found = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent, bands, rows)
+        stay += [named, found]
+    out = named.join(found.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with the representative of their set, and the components of representatives, as tables."""
     described = kept(docs.mapInArrow(_describe(k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     alike = kept(described.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep"))
     named = described.join(alike, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands")
@@ -220,5 +236,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if buckets is not None:
         links = links.unionByName(_compared(placed, sets, percent))
         found = components(links)
-    out = named.join(found.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return named, found

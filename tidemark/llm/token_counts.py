@@ -68,7 +68,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         alone = docs.where(~maybe(F.col("doc_id"))).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text"), folds).alias("digest"), "text")
         alone = kept(alone.mapInArrow(counts, "doc_id long, n_bytes long, digest binary, n_tokens long"))
         others = kept(keys.where(maybe(F.col("doc_id"))))
-        owners = others.join(cache, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("owner"))
+        owners = others.groupBy("digest").agg(F.min("doc_id").alias("owner")).join(cache, "digest", "left_anti")
         texts = docs.where(maybe(F.col("doc_id"))).withColumn("own", content_digest(F.col("text"), folds))
         # a digest's owner is one of few rows of its id, so neither side is skewed
         to_encode = texts.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("own") == F.col("digest"))).select("digest", "text")

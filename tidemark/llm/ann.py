@@ -7,6 +7,7 @@ approximate q.x; |x|^2 / 2 is kept as it is. A code's vector c and its error |x
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,13 +139,13 @@ def build_index(vectors: DataFrame, sample: int = 4096, threshold: float = 0.2,
 def _scan(ids: np.ndarray, q: np.ndarray, k: int, rerank: int, book: Codebook | None):
     """A task's k nearest rows of each query, over its batches."""
     dim = q.shape[1]
-    tables = book.tables(q) if book else None
-    if tables is not None:
-        lengths = (q * q).sum(1)
-        # what summing single-precision products may add to or take from a squared distance, at most
-        slack = 4 * (len(tables) + 2) * 2.0**-24 * np.abs(tables.astype("f8")).max(2).sum(0)
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = book.tables(q) if book else None  # made by each task: they take thirty times the queries' room
+        if tables is not None:
+            lengths = (q * q).sum(1)
+            # what summing single-precision products may add to or take from a squared distance, at most
+            slack = 4 * (len(tables) + 2) * 2.0**-24 * np.abs(tables.astype("f8")).max(2).sum(0)
         best, names = [np.empty(0) for _ in ids], [np.empty(0, "i8") for _ in ids]
         for b in parts:
             rows = np.flatnonzero(np.asarray(b.column("embedding").value_lengths()) == dim)
@@ -196,25 +197,25 @@ def _scan(ids: np.ndarray, q: np.ndarray, k: int, rerank: int, book: Codebook |
 def search(index: DataFrame, books: dict[int, Codebook], queries: DataFrame, k: int = 10, rerank: int = 400, block: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest rows but its own id, nearest first, ties to smaller ids.
 
-    queries: vec_id and embedding of the index. Blocks of about `block` queries go to all tasks in turn (the bound on what
-    is broadcast), each scans its rows' codes, and of each Arrow batch the best `rerank` are compared exactly, and then every
-    row that the bound of its code's error leaves open, however many: results are exact. A task returns k rows for a query. Rows sharing a query's id are not its neighbours;
-    queries given twice are answered once.
+    queries: vec_id and embedding of the index. Blocks of about `block` queries go to all tasks one after the other, so the
+    driver and a task hold one block at a time, and each block's answers are a table in the shared folder. A task scans its
+    rows' codes; of each Arrow batch the best `rerank` (all, if it has fewer) are compared exactly, and then every row that
+    the bound of its code's error leaves open, however many: results are exact. A task returns k rows for a query. Rows
+    sharing a query's id are not its neighbours; queries given twice are answered once, and of different vectors that share
+    a query's id one is taken. No queries give no rows.
     """
     queries = queries.select("vec_id", "embedding").dropDuplicates(["vec_id"])
     n = queries.count()
     blocks = -(-n // block)
     spark, parts = queries.sparkSession, []
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     for i in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
         vectors = pa.array([r["embedding"] for r in rows], pa.list_(pa.float64()))
         for some, q in by_length(vectors, np.arange(len(rows))):
             ids = np.array([rows[j]["vec_id"] for j in some], "i8")
-            parts.append(index.mapInArrow(_scan(ids, q, k, rerank, books.get(q.shape[1])), "query_id long, vec_id long, score double"))
+            near = index.mapInArrow(_scan(ids, q, k, rerank, books.get(q.shape[1])), "query_id long, vec_id long, score double")
+            parts.append(kept(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -10,7 +10,7 @@ from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import pseudonymise
 from tidemark.llm.quality import keep_good
-from tidemark.llm.queries import PSEUDONYM_KEY, tokenizer_path
+from tidemark.llm.queries import pseudonym_key, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data in their texts; n_chars follows."""
-    out = pseudonymise(docs, PSEUDONYM_KEY)
+    out = pseudonymise(docs, pseudonym_key(spark))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

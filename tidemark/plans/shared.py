@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders written by kept(), with the session that wrote them.
 _KEPT: list[tuple[SparkSession, str]] = []
 _SCOPE = threading.local()
+#: Bytes of a row group in these tables: a task that writes or reads one holds about as much, on the heap and outside it.
+ROW_GROUP = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,7 +51,7 @@ def kept(df: DataFrame, compression: str = "zstd", partition_by: tuple[str, ...]
     """
     spark = df.sparkSession
     path = shared_folder(spark, "tidemark")
-    df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", ROW_GROUP).partitionBy(*partition_by).parquet(path)
     _KEPT.append((spark, path))
     if (scope := getattr(_SCOPE, "made", None)) is not None:
         scope.append((spark, path))

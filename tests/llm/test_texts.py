@@ -17,7 +17,7 @@ from tidemark.llm import queries
 from tidemark.llm.licenses import SENTENCES, Rules, scan_licences
 from tidemark.llm.pieces import Lattice, decode_segments, n_best_segments
 from tidemark.llm.pii import PHONE, SOCIAL, feistel, pseudonymise
-from tidemark.llm.quality import STATISTICS, isotonic, keep_good, score_quality, statistics
+from tidemark.llm.quality import STATISTICS, _described, fit, isotonic, keep_good, score_quality, statistics
 from tidemark.llm.queries import tokenizer_path
 
 KEY = "k"
@@ -65,6 +65,35 @@ def test_quality_of_odd_documents(spark, odd, none):
     assert keep_good(odd, nothing).count() == odd.count()
 
 
+def test_equations_and_scores_by_direct_solution(spark, docs):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    model = fit(_described(docs, "doc_id", "text"), labels)
+    good = {r.doc_id: r.quality for r in labels.where("quality in (0, 1)").collect()}
+    rows = docs.collect()
+    x = np.array([statistics(r.text) for r in rows])
+    learnt = np.array([r.doc_id in good and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in rows])
+    y = np.array([good.get(r.doc_id, 0) for r in rows], "f8")
+    assert np.allclose(model.mean, x[learnt].mean(0)) and np.allclose(model.scale, np.maximum(np.where(x[learnt].std(0) == 0, 1, x[learnt].std(0)), 1e-9))
+    z = np.column_stack([np.cos((np.clip((x - model.mean) / model.scale, -6, 6)) @ model.weights + model.phases) * np.sqrt(2 / 256), np.ones(len(x))])
+    penalty = np.sqrt(0.3 * np.diag([*[1.0] * 256, 1e-6]))
+    direct = np.linalg.lstsq(np.vstack([z[learnt], penalty]), np.concatenate([y[learnt], np.zeros(257)]), rcond=None)[0]
+    assert np.allclose(z @ direct, model.raw(x), atol=1e-6)
+    made = {r.doc_id: r.score for r in score_quality(docs, labels).collect()}
+    assert all(abs(made[r.doc_id] - s) < 1e-6 for r, s in zip(rows, model.score(x)))
+
+
+def test_what_is_kept_is_judged_by_row(spark, docs):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    texts = docs.select("text").where("text is not null").limit(40).collect()  # other texts for ids there are, and none
+    more = spark.createDataFrame([(i % 7 if i % 3 else None, t.text) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(more).withColumn("digest", F.lit("clash"))
+    model = fit(_described(rows, "doc_id", "text"), labels)
+    want = sorted(((r.doc_id, r.text) for r in rows.collect() if model.score(statistics(r.text)[None])[0] >= 0.5), key=repr)
+    made = keep_good(rows, labels)
+    assert made.columns == rows.columns and 0 < len(want) < rows.count()
+    assert sorted(((r.doc_id, r.text) for r in made.collect()), key=repr) == want
+
+
 def test_isotonic_knots_never_fall():
     rng = np.random.default_rng(0)
     x = np.sort(rng.normal(size=300))

@@ -6,12 +6,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.shared import kept, release, scratch, shared_folder, shared_root
 
-__all__ = ["id_filter", "kept", "mix", "release", "scratch", "shared_folder", "shared_root", "without"]
+__all__ = ["bounded_batches", "id_filter", "kept", "mix", "release", "scratch", "shared_folder", "shared_root", "without"]
+
+#: The setting that bounds an Arrow batch on its way to a Python worker, and the bytes of one.
+BATCH_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on, batches of rows end at ARROW_BYTES, unless the session has a bound of its own.
+
+    Spark's default ends them at 10,000 rows, which of long texts or sets takes hundreds of MB outside the heap.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(ARROW_BYTES))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the finalizer of splitmix64)."""

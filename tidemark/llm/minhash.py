@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_filter, kept, mix, scratch
+from tidemark.llm.common import bounded_batches, id_filter, kept, mix, scratch
 from tidemark.llm.components import components
 from tidemark.llm.encode import batches
 
@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     An empty table gives no rows. A null, empty or blank text has no shingles and is linked with nothing. Rows with a null id are returned with a null
     component_id and kept. Rows that share an id are one node; each is returned. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     with scratch() as stay:
         named, found = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, percent, bands, rows)
         stay += [named, found]

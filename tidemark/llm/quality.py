@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import kept
+from tidemark.llm.common import bounded_batches, id_filter, kept, scratch
 
 _CLASSES = {"letters": b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "blank": b" ", "lines": b"\n\r", "stops": b".,", "asks": b"!?", "marks": b"#$%&*", "bars": b"|_~^<>\\/", "others": b"\"'()[]{}:;-+=@`\t", "high": bytes(range(128, 256))}
 _MASKS = np.array([[c in v for c in range(256)] for v in _CLASSES.values()], "f8").T
@@ -82,14 +82,21 @@ def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, the digest of the text (a null one's is an empty one's) and its statistics, for each row."""
     def describe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for i in range(0, len(b), 2000):
                 some = b.slice(i, 2000)
-                x = np.array([statistics(t.as_py()) for t in some.column(1)], "f8").reshape(-1, len(STATISTICS))
-                yield pa.record_batch([some.column(0), *(pa.array(c) for c in np.ascontiguousarray(x.T))], ["doc_id", *STATISTICS])
+                x = np.array([statistics(t.as_py()) for t in some.column(2)], "f8").reshape(-1, len(STATISTICS))
+                yield pa.record_batch([some.column(0), some.column(1), *(pa.array(c) for c in np.ascontiguousarray(x.T))], ["doc_id", "digest", *STATISTICS])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(describe, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(describe, "doc_id long, digest binary, " + ", ".join(f"{s} double" for s in STATISTICS))
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -167,12 +174,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, that score at least threshold; texts are read twice, not shuffled."""
-    model = fit(kept(_described(docs, id_col, text_col)), labels, **options)
+    """The rows of docs, all columns, that score at least threshold.
 
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        x = np.array([statistics(t.as_py()) for t in texts], "f8").reshape(-1, len(STATISTICS))
-        return pa.array(model.score(x))
-
-    return docs.where(score(F.col(text_col)) >= threshold)
+    Texts are described once; what is rejected is named by id and digest of its text. Rows whose ids the rejected ones'
+    filter doesn't name are kept where they are read; only the others are shuffled. Of an id with several texts each is
+    judged by itself, and rows with a null id are judged like others.
+    """
+    with scratch() as stay:
+        described = kept(_described(docs, id_col, text_col))
+        model = fit(described, labels, **options)
+
+        def rejects(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                yield b.select(["doc_id", "digest"]).filter(pa.array(model.score(_matrix(b)) < threshold))
+
+        rejected = kept(described.mapInArrow(rejects, "doc_id long, digest binary").distinct())
+        maybe = id_filter(rejected.select("doc_id").distinct())(F.col(id_col))
+        stay.append(rejected)
+    same = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("r.doc_id")) & (_digest(f"d.{text_col}") == F.col("r.digest"))
+    return docs.where(~maybe).union(docs.where(maybe).alias("d").join(rejected.alias("r"), same, "left_anti"))

@@ -108,6 +108,42 @@ def test_failing_keys_keep_their_state(events):
     assert all(got[k][0] == 10 and got[k][2] is None for k in (0, 2, 3))
 
 
+def test_a_fold_of_arrow_rows_keeps_what_failing_keys_had(events):
+    def step(key, old, new):
+        if key[0] == 1 and new["id"][-1].as_py() > 20:
+            raise ValueError("no")
+        assert new["id"].to_pylist() == sorted(new["id"].to_pylist())
+        n = len(new) + (old["n"][0].as_py() if len(old) else 0)
+        return [(key[0], "many" if key[0] == 2 and n > 5 else n, new["id"][-1].as_py())]
+
+    stream, at = as_stream(events, "id"), Cursor()
+    made = PythonFold(("key",), step, "key long, n long, cursor_position long", "id", arrow=True)
+    state = made(made(None, stream.fetch(at, 20)), stream.fetch(at, 20))
+    again = made(state, stream.fetch(Cursor(), None))
+    for got in ({r["key"]: (r["n"], r["cursor_position"], r["error"]) for r in s.collect()} for s in (state, again)):
+        assert got[1][:2] == (5, 17) and "no" in got[1][2]
+        assert got[2][:2] == (5, 18) and "many" in got[2][2]  # not a long
+        assert got[0] == (10, 40, None) and got[3] == (10, 39, None)
+    with pytest.raises(Exception, match="no"):
+        PythonFold(("key",), step, "key long, n long, cursor_position long", "id", "raise", arrow=True)(None, stream.fetch(n=None)).collect()
+
+
+def test_a_fold_of_arrow_rows_cuts_streams_where_keys_change(spark):
+    """Keys that span Arrow batches, null and NaN keys, two zeros, keys of two columns, one of them an array."""
+    parts = [(None, 3), (float("nan"), 25), (0.0, 4), (-0.0, 5), (1.5, 61), *((float(i), 1) for i in range(2, 30))]
+    data = [(k, ["a", None] if i % 3 else None, None if i % 2 else "x") for k, n in parts for i in range(n)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, key double, tags array<string>, value string")
+    made = PythonFold(("key", "tags"), lambda key, old, new: [(*key, len(new), new["value"].null_count, new["id"][-1].as_py())], "key double, tags array<string>, n long, nulls long, cursor_position long", "id", arrow=True)
+    want = df.groupBy("key", "tags").agg(F.count("*"), F.count("*") - F.count("value"), F.max("id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = made(None, as_stream(df, "id").fetch(n=None))
+        assert got.where("error is not null").count() == 0
+        assert str(rows(got.drop("error"))) == str(rows(want))  # NaN is not equal to itself
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_keys_catch_up_together_and_read_no_row_twice(events, spark, tmp_path):
     store = ParquetStore(spark, str(tmp_path))
     run = KeyedCatchup(as_stream(events, "id"), lambda: events, "key", batch_size=9)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cursor import Cursor
 from tidemark.operators import partition as parts
+from tidemark.operators import stream
 from tidemark.operators.stream import as_sequential_stream, as_stream, create, numbered, of
 
 
@@ -176,3 +177,15 @@ def test_null_keys_are_keys_of_their_own(spark):
     up = as_stream(df, "id")
     assert values(up.into_many(up, "key").fetch(n=2), "id") == [1, 2]
     assert values(up.into_many(up, "key", bounded=False).fetch(n=2), "id") == [1, 2, 4]
+
+
+@pytest.mark.parametrize("values", [list(range(3000)), [i % 6 for i in range(2000)], [7] * 500, [5] * 1500 + list(range(500))], ids=["distinct", "ties", "one", "mostly one"])
+def test_no_task_holds_a_large_batch_to_find_its_end(spark, monkeypatch, values):
+    df, taken = spark.createDataFrame([(v,) for v in values], "id long").repartition(5).cache(), []
+    monkeypatch.setattr(stream, "TOP_N", 50, raising=False)
+    limit = type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: (taken.append(n), limit(self, n))[1])
+    for n in (60, len(values) // 2, len(values), len(values) + 9):
+        batch, last = stream.as_stream(df, "id").fetch(n=n), sorted(values)[: n][-1]
+        assert (batch.ends_at, batch.count) == (last, sum(v <= last for v in values))
+    assert all(n <= 50 for n in taken)

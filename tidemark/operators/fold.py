@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import functools
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.operators.stream import Batch
 
@@ -75,16 +79,23 @@ class PythonFold:
     schema: DDL of the state's keys, values and cursor_position. A key whose fn raises keeps its old state and cursor, and
     its `error` column says why; on_error="raise" fails the job instead. A key's rows of one batch are one pandas frame,
     so batches bound what a worker holds.
+
+    Frames cost some milliseconds a key, whatever it holds. With arrow set, fn gets Arrow record batches instead, the new
+    rows in order of the cursor, and gives rows as tuples in the schema's order: that costs microseconds, so it suits many
+    keys with few rows each. There a value that doesn't fit the schema is an error of its key, and a null key is None.
     """
 
     keys: tuple[str, ...]
-    fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]
+    fn: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame] | Callable[[tuple, pa.RecordBatch, pa.RecordBatch], Iterable[tuple]]
     schema: str
     cursor: str
     on_error: str = "continue"
     prune: bool = True
+    arrow: bool = False
 
     def __call__(self, state: DataFrame | None, batch: Batch) -> DataFrame:
+        if self.arrow:
+            return self._in_arrow(state, batch)
         spark, keys, fn, stop, cursor, prune = batch.df.sparkSession, list(self.keys), self.fn, self.on_error == "raise", self.cursor, self.prune
         fields = T.StructType.fromDDL(self.schema) if hasattr(T.StructType, "fromDDL") else spark.createDataFrame([], self.schema).schema
         names = fields.names
@@ -109,6 +120,109 @@ class PythonFold:
 
         return state.groupBy(*keys).cogroup(batch.df.groupBy(*keys)).applyInPandas(fold, self.schema + ", error string")
 
+    def _in_arrow(self, state: DataFrame | None, batch: Batch) -> DataFrame:
+        """State and new rows side by side, sorted by key, pass a worker as one stream, which it cuts where the key changes.
+
+        It holds one Arrow batch and the rows of one key.
+        """
+        fn, stop, cursor, prune, n_keys = self.fn, self.on_error == "raise", self.cursor, self.prune, len(self.keys)
+        fields = T.StructType.fromDDL(self.schema)
+        names, columns = fields.names, batch.df.columns
+        kinds = {f.name: f.dataType for f in fields} | {"error": T.StringType()}
+        made = to_arrow_schema(T.StructType([*fields, T.StructField("error", T.StringType())]))
+
+        def key(name: str) -> Column:
+            c = F.col(f"`{name}`").cast(kinds[name])
+            return c + F.lit(0.0).cast(kinds[name]) if isinstance(kinds[name], (T.FloatType, T.DoubleType)) else c  # -0.0 is 0.0
+
+        def side(df: DataFrame, new: bool) -> DataFrame:
+            old_ones = [(F.lit(None) if new or n not in df.columns else F.col(f"`{n}`")).cast(t).alias(f"_old_{i}") for i, (n, t) in enumerate(kinds.items())]
+            new_ones = [(F.col(f"`{n}`") if new else F.lit(None).cast(batch.df.schema[n].dataType)).alias(f"_new_{i}") for i, n in enumerate(columns)]
+            return df.select(*(key(n).alias(f"_key_{i}") for i, n in enumerate(self.keys)), F.lit(new).alias("_is_new"), *old_ones, *new_ones)
+
+        def changes(column: pa.Array) -> np.ndarray:
+            """Whether each value but the first differs from the one before it; nulls are equal, and so are NaNs."""
+            a, b = column.slice(0, len(column) - 1), column.slice(1)
+            try:
+                differ = pc.fill_null(pc.not_equal(a, b), pa.scalar(False)).to_numpy(zero_copy_only=False)
+            except pa.ArrowNotImplementedError:  # structs and arrays
+                values = column.to_pylist()
+                return np.array([x != y for x, y in zip(values, values[1:])], bool)
+            if pa.types.is_floating(column.type):
+                nan = pc.fill_null(pc.is_nan(column), pa.scalar(False)).to_numpy(zero_copy_only=False)
+                differ = differ & ~(nan[1:] & nan[:-1])
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            return differ | (null[1:] != null[:-1])
+
+        def fold(key: tuple, old: pa.RecordBatch, new: pa.RecordBatch) -> list[tuple]:
+            state = old.select(names)
+            if prune and len(old) and (at := pc.max(old.column(CURSOR))).is_valid:
+                new = new.filter(pc.greater(new.column(cursor), at))
+            if not len(new):
+                return list(zip(*(c.to_pylist() for c in old.columns)))
+            try:
+                rows = [(*r, None) for r in fn(key, state, new)]
+                if any(len(r) != len(made) for r in rows):
+                    raise ValueError(f"a row needs {len(names)} values: {', '.join(names)}")
+                return rows
+            except Exception as e:
+                return refused(key, state, e)
+
+        def refused(key: tuple, state: pa.RecordBatch, error: Exception) -> list[tuple]:
+            if stop:
+                raise error
+            rows = zip(*(c.to_pylist() for c in state.columns)) if len(state) else [tuple(dict(zip(self_keys, key)).get(n) for n in names)]
+            return [(*r, f"{type(error).__name__}: {error}") for r in rows]
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(made), made)], schema=made)
+
+        def folded(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The new state of whole keys, which begin at starts."""
+            news = np.concatenate([[0], np.cumsum(rows.column(n_keys).to_numpy(zero_copy_only=False))])
+            bounds = np.append(starts, len(rows))
+            to_new, to_old = news[bounds].tolist(), (bounds - news[bounds]).tolist()
+            is_new, parts = rows.column(n_keys), rows.columns[n_keys + 1 :]
+            old = pa.RecordBatch.from_arrays(parts[: len(made)], names=made.names).filter(pc.invert(is_new))
+            new = pa.RecordBatch.from_arrays(parts[len(made) :], names=columns).filter(is_new)
+            of = list(zip(*(rows.column(i).take(pa.array(starts)).to_pylist() for i in range(n_keys))))
+            cut = [(k, old.slice(a, b - a), new.slice(c, d - c)) for k, a, b, c, d in zip(of, to_old, to_old[1:], to_new, to_new[1:])]
+            results = [fold(*x) for x in cut]
+            try:
+                yield told([r for rs in results for r in rs])
+            except (pa.ArrowException, TypeError, ValueError, OverflowError):  # find the keys whose values don't fit
+                for (k, o, _), rs in zip(cut, results):
+                    try:
+                        one = told(rs)
+                    except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
+                        one = told(refused(k, o.select(names), e))
+                    yield one
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []  # the rows so far of the last key
+            for b in batches:
+                if not len(b):
+                    continue
+                before = [held[-1].slice(len(held[-1]) - 1)] if held else []
+                seams = [pa.concat_arrays([x.column(i) for x in (*before, b)]) for i in range(n_keys)]
+                starts = np.flatnonzero(functools.reduce(np.logical_or, map(changes, seams))) + 1 - len(before)
+                if not len(starts):
+                    held.append(b)
+                    continue
+                whole = pa.concat_batches([*held, b.slice(0, starts[-1])])
+                shift = sum(map(len, held))
+                if len(whole):
+                    yield from folded(whole, np.unique(np.concatenate([[0], starts[:-1] + shift])))
+                held = [b.slice(starts[-1])]
+            if held:
+                yield from folded(pa.concat_batches(held), np.array([0]))
+
+        self_keys = self.keys
+        both = side(batch.df, True) if state is None else side(state, False).unionAll(side(batch.df, True))
+        at = [F.col(f"_key_{i}") for i in range(n_keys)]
+        order = [*at, F.col("_is_new"), F.col(f"_new_{columns.index(cursor)}").asc_nulls_last()]
+        return both.repartition(*at).sortWithinPartitions(*order).mapInArrow(run, self.schema + ", error string")
+
 
 def pipeline(step: Step, *middleware: Callable[[DataFrame | None, Batch, Step], DataFrame]) -> Step:
     """step within middleware, each called as m(state, batch, next); the one given last is outermost."""

@@ -18,6 +18,8 @@ from tidemark.plans.shared import kept
 
 log = logging.getLogger("tidemark")
 BATCH_SIZE = 1000
+#: Up to so many rows the end of a batch is a top-n, of which every task, and then a single one, holds all n.
+TOP_N = 1 << 19
 
 
 @dataclass
@@ -45,12 +47,41 @@ def semi_join(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     return rows.join(these, functools.reduce(lambda a, b: a & b, (rows[n].eqNullSafe(these[f"_key_{n}"]) for n in names)), "left_semi")
 
 
+def last_of(keys: DataFrame, n: int | None) -> tuple[Any, int]:
+    """The largest of the n least values (n: None for all) of keys' one column, c, and how many there are: n or fewer.
+
+    For a large n the values are counted by ranges, and only the range in which the n-th lies is looked into further.
+    """
+    below, c = 0, F.col("c")
+    while n is not None and n - below > TOP_N:
+        parts = keys.repartitionByRange(max(64, 4 * (n - below) // TOP_N), "c").groupBy(F.spark_partition_id()).agg(F.max("c").alias("end"), F.count("*").alias("n"))
+        low, whole, inside = None, below, None
+        for end, size in parts.orderBy("end").select("end", "n").collect():
+            if below + size >= n:
+                inside = end, size
+                break
+            low, below = (end,), below + size
+        if inside is None:  # there are fewer
+            return (low[0] if low else None), below
+        end, size = inside
+        if below + size == n:
+            return end, n
+        keys = keys.where(c <= literal(end) if low is None else unread(c, low[0]) & (c <= literal(end)))
+        if below == whole and size > TOP_N:  # few values, with many ties: the range may be the same again
+            least = keys.where(c < literal(end))
+            if (size := least.count()) < n - below:
+                return end, n
+            keys = least
+    one = (keys if n is None else keys.orderBy("c").limit(n - below)).agg(F.max("c").alias("end"), F.count("*").alias("n")).first()
+    return one["end"], below + one["n"]
+
+
 @dataclass(frozen=True)
 class Stream:
     """Rows of `source` in the order of `cursor`, a column's name or a column expression.
 
-    A fetch finds the last cursor value of the next n rows (a top-n over that one column) and then scans the range
-    (start, end], which Catalyst pushes to the source. Rows that share a cursor value are never parted, so a batch can
+    A fetch finds the last cursor value of the next n rows (a top-n over that one column, or counts of its ranges where n
+    passes TOP_N) and then scans the range (start, end], which Catalyst pushes to the source. Rows that share a cursor value are never parted, so a batch can
     pass n by the ties of its last value: order by a struct of columns (cursor=F.struct(...)) where many rows share one.
     Steps added by map() don't change where a batch ends. Rows with a null cursor are never read. A first position other
     than None is read from just after it.
@@ -94,13 +125,13 @@ class Stream:
         if upto is not None:
             fresh = fresh.where(column <= literal(upto))
         keys = fresh.select(column.alias("c"))
-        end = (keys if n is None else keys.orderBy("c").limit(n)).agg(F.max("c").alias("end"), F.count("*").alias("n")).first()
-        if not end["n"]:
+        end, found = last_of(keys, n)
+        if not found:
             batch = Batch(fresh.limit(0), start, start, 0)
         else:
-            rows = fresh.where(column <= literal(end["end"]))
-            batch = Batch(rows, start, end["end"], end["n"] if n is None or end["n"] < n else rows.select(column).count())
-            cursor.advance_to(end["end"])
+            rows = fresh.where(column <= literal(end))
+            batch = Batch(rows, start, end, found if n is None or found < n else rows.select(column).count())
+            cursor.advance_to(end)
         return self._stepped(batch)
 
     def _advanced(self, rows: DataFrame, cursor: Cursor, start: Any) -> Batch:

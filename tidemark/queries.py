@@ -456,17 +456,18 @@ def error_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, at = _events(spark, sf_dir).select("event_id", "user_id"), Cursor()
     stream = as_stream(rows, "event_id")
     first = stream.fetch(at, rows.count() // 2)
-    half = first.ends_at if first.ends_at is not None else -1
+    half = first.ends_at
 
     def fold(key, old, new):
-        if key[0] % 5 == 0 and new["event_id"].max() > half:
+        last = new["event_id"][-1].as_py()
+        if (key[0] is None or key[0] % 5 == 0) and (half is None or last > half):
             raise ValueError("refused")
-        n = len(new) + (int(old["n"].iloc[0]) if len(old) else 0)
-        return new.iloc[:1][["user_id"]].assign(n=n, cursor_position=int(new["event_id"].max()))
+        return [(key[0], len(new) + (old["n"][0].as_py() if len(old) else 0), last)]
 
-    step = PythonFold(("user_id",), fold, "user_id long, n long, cursor_position long", "event_id")
-    state = step(step(None, first), stream.fetch(at, None))
-    return state.select("user_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(CURSOR, F.lit(-1)).alias(CURSOR), F.col("error").isNotNull().alias("failed"))
+    step = PythonFold(("user_id",), fold, "user_id long, n long, cursor_position long", "event_id", arrow=True)
+    state, failed = step(step(None, first), stream.fetch(at, None)), F.col("error").isNotNull()
+    # as in SQL, where it isn't known whether no user is among those refused
+    return state.select("user_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(CURSOR, F.lit(-1)).alias(CURSOR), F.when(~(failed & F.col("user_id").isNull()), failed).alias("failed"))
 
 
 @query("with p as (select event_id, row_number() over (order by event_id) > (select count(*) // 2 from events) late from events) select 'good' subscriber, max(event_id) cursor_position, count(*) n from p union all select 'refusing', max(event_id) filter (where not late), count(*) filter (where not late) from p")

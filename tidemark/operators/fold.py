@@ -177,16 +177,15 @@ class PythonFold:
         def told(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(made), made)], schema=made)
 
-        def folded(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """The new state of whole keys, which begin at starts."""
-            news = np.concatenate([[0], np.cumsum(rows.column(n_keys).to_numpy(zero_copy_only=False))])
-            bounds = np.append(starts, len(rows))
-            to_new, to_old = news[bounds].tolist(), (bounds - news[bounds]).tolist()
+        def split(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            """State and new rows without the columns that only the other has."""
             is_new, parts = rows.column(n_keys), rows.columns[n_keys + 1 :]
-            old = pa.RecordBatch.from_arrays(parts[: len(made)], names=made.names).filter(pc.invert(is_new))
-            new = pa.RecordBatch.from_arrays(parts[len(made) :], names=columns).filter(is_new)
-            of = list(zip(*(rows.column(i).take(pa.array(starts)).to_pylist() for i in range(n_keys))))
-            cut = [(k, old.slice(a, b - a), new.slice(c, d - c)) for k, a, b, c, d in zip(of, to_old, to_old[1:], to_new, to_new[1:])]
+            old, new = pa.RecordBatch.from_arrays(parts[: len(made)], names=made.names), pa.RecordBatch.from_arrays(parts[len(made) :], names=columns)
+            return old.filter(pc.invert(is_new)), new.filter(is_new)
+
+        def folded(of: list[tuple], old: pa.RecordBatch, to_old: list[int], new: pa.RecordBatch, to_new: list[int]) -> Iterator[pa.RecordBatch]:
+            """The new state of whole keys, whose rows end where to_old and to_new say."""
+            cut = [(k, old.slice(a, b - a), new.slice(c, d - c)) for k, a, b, c, d in zip(of, [0, *to_old], to_old, [0, *to_new], to_new)]
             results = [fold(*x) for x in cut]
             try:
                 yield told([r for rs in results for r in rs])
@@ -199,23 +198,29 @@ class PythonFold:
                     yield one
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []  # the rows so far of the last key
+            at: list[pa.Array] = []  # the key that goes on into the next batch, and its rows so far
+            olds: list[pa.RecordBatch] = []
+            news: list[pa.RecordBatch] = []
             for b in batches:
                 if not len(b):
                     continue
-                before = [held[-1].slice(len(held[-1]) - 1)] if held else []
-                seams = [pa.concat_arrays([x.column(i) for x in (*before, b)]) for i in range(n_keys)]
-                starts = np.flatnonzero(functools.reduce(np.logical_or, map(changes, seams))) + 1 - len(before)
-                if not len(starts):
-                    held.append(b)
-                    continue
-                whole = pa.concat_batches([*held, b.slice(0, starts[-1])])
-                shift = sum(map(len, held))
-                if len(whole):
-                    yield from folded(whole, np.unique(np.concatenate([[0], starts[:-1] + shift])))
-                held = [b.slice(starts[-1])]
-            if held:
-                yield from folded(pa.concat_batches(held), np.array([0]))
+                keyed = b.columns[:n_keys]
+                at = at or [c.slice(0, 1) for c in keyed]
+                starts = np.flatnonzero(functools.reduce(np.logical_or, (changes(pa.concat_arrays([k, c])) for k, c in zip(at, keyed))))
+                end = int(starts[-1]) if len(starts) else 0
+                if len(starts):
+                    old, new = split(b.slice(0, end))
+                    count = np.append(0, np.cumsum(b.column(n_keys).to_numpy(zero_copy_only=False)))[starts]
+                    to_old, to_new = (starts - count + sum(map(len, olds))).tolist(), (count + sum(map(len, news))).tolist()
+                    of = list(zip(*(pa.concat_arrays([k, c.take(pa.array(starts[:-1]))]).to_pylist() for k, c in zip(at, keyed))))
+                    yield from folded(of, pa.concat_batches([*olds, old]), to_old, pa.concat_batches([*news, new]), to_new)
+                    at, olds, news = [c.slice(end, 1) for c in keyed], [], []
+                old, new = split(b.slice(end))
+                olds.append(old)
+                news.append(new)
+            if at:
+                old, new = pa.concat_batches(olds), pa.concat_batches(news)
+                yield from folded([tuple(k[0].as_py() for k in at)], old, [len(old)], new, [len(new)])
 
         self_keys = self.keys
         both = side(batch.df, True) if state is None else side(state, False).unionAll(side(batch.df, True))
